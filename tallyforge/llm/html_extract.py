@@ -56,6 +56,7 @@ LABELLED = np.array(
         # pages that mark no article: long blocks with few links and their short neighbours
         (80, 0.0, 40, 0.0, 90, 0.0, 0, 0, 0, 1), (35, 0.05, 8, 0.0, 70, 0.0, 0, 0, 0, 1), (120, 0.1, 3, 1.0, 2, 1.0, 0, 0, 0, 1), (9, 0.0, 70, 0.0, 80, 0.0, 0, 0, 0, 1), (7, 0.0, 1, 1.0, 80, 0.0, 0, 0, 1, 1),
         (2, 0.0, 60, 0.0, 50, 0.0, 0, 0, 0, 1), (22, 0.1, 50, 0.0, 40, 0.0, 0, 0, 0, 1), (6, 0.0, 45, 0.0, 45, 0.0, 0, 0, 1, 1), (18, 0.0, 30, 0.0, 4, 0.0, 0, 0, 0, 1), (17, 0.0, 6, 0.0, 30, 0.0, 0, 0, 0, 1),
+        (50, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 1), (8, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 1),
         (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.9, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (30, 0.8, 3, 1.0, 50, 0.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
         (6, 0.3, 4, 1.0, 5, 0.5, 0, 0, 0, 0), (9, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0), (10, 0.5, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (14, 0.7, 20, 0.0, 60, 0.0, 0, 0, 0, 0),
         (50, 0.0, 70, 0.0, 40, 0.0, 0, 1, 0, 0), (12, 0.0, 3, 1.0, 80, 0.0, 0, 1, 0, 0), (3, 0.0, 90, 0.0, 90, 0.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0, 0), (90, 0.05, 12, 0.0, 80, 0.0, 0, 1, 0, 0),

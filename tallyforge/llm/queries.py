@@ -33,6 +33,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.minhash import Settings, near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Settings(words=4))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.html_extract import extract
 
@@ -63,6 +69,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
     "op10_bpe_codec": op10_bpe_codec,
