@@ -163,7 +163,8 @@ def mix_plan(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, D
     sizes = scratch.keep(sized(docs))
     by_source = scratch.keep(targets(sizes, mix))
     documents = scratch.keep(placed(sizes))
-    takes = slot_table(by_source, mix).join(block_table(documents, mix), ["skey", "block"])
+    # the planner takes the slots for as few as the sources that they are made from
+    takes = slot_table(by_source, mix).hint("merge").join(block_table(documents, mix), ["skey", "block"])
     return documents, by_source, takes
 
 
@@ -171,7 +172,7 @@ def mix_digest(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row a document: size, source_size, target, and the words that the mix takes of it."""
     documents, by_source, takes = mix_plan(docs, mix)
     taken = takes.groupBy("skey", "begin").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
-    rows = documents.withColumn("begin", F.when(F.col("size") > 0, F.col("begin"))).join(taken, ["skey", "begin"], "left")
+    rows = documents.withColumn("begin", F.when(F.col("size") > 0, F.col("begin"))).join(taken.hint("merge"), ["skey", "begin"], "left")
     rows = rows.join(by_source.select("skey", "source_size", "target"), "skey")
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -190,7 +191,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     spans = spans.select(row_key, "skey", "text_key", "spans", "words")
     keyed = docs.select("*", row_key, source_key(docs).alias("skey"), F.xxhash64("text").alias("text_key"))
     keys = ["row_key", "skey", "text_key"]
-    joined = keyed.dropDuplicates(keys).join(spans, keys)
+    joined = keyed.dropDuplicates(keys).join(spans.hint("merge"), keys)
     cut = F.filter(F.split("text", SPACES), lambda w: w != "")
     pieces = F.flatten(F.transform("spans", lambda s: F.slice(F.col("cut"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
     whole = F.col("words") == word_count(F.col("text"))
