@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyforge.operators import contamination, statistics
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = contamination.QUERIES | statistics.QUERIES
+ORACLES = contamination.ORACLES | statistics.ORACLES
