@@ -53,6 +53,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.embed_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.bpe_codec import decode, encode
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
