@@ -33,6 +33,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.quality import score_quality
+
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.minhash import Settings, near_duplicates
 
@@ -82,6 +88,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
+    "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_html_text": op6_html_text,
     "op7_toxicity": op7_toxicity,
