@@ -66,7 +66,9 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select("doc_id", body.alias("text")).withColumn("key", F.sha2("text", 256))
-    texts = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("m"), F.first("text").alias("text")))
+    # ids are fixed by writing the table; rows of positions carry them instead of the long keys
+    texts = rows.groupBy("key").agg(F.count("*").alias("m"), F.first("text").alias("text"))
+    texts = scratch.keep(texts.withColumn("id", F.monotonically_increasing_id()))
     long = texts.where(F.octet_length("text") >= LENGTH)
 
     def anchors(batches):
@@ -74,43 +76,44 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             for at in range(0, len(pdf), 200):
                 part = pdf.iloc[at : at + 200]
                 out = []
-                for key, m, t in zip(part["key"], part["m"], part["text"], strict=True):
+                for key, m, t in zip(part["id"], part["m"], part["text"], strict=True):
                     low = lowest(t.encode())
                     a = np.unique(low)
                     # a lowest string met at several places of one text
                     every = doubled(t.encode(), ANCHOR)
                     every.sort()
                     n = np.searchsorted(every, a, "right") - np.searchsorted(every, a, "left")
-                    out.append(pd.DataFrame({"key": key, "a": a.view(np.int64), "w": n * m}))
+                    out.append(pd.DataFrame({"id": key, "a": a.view(np.int64), "w": n * m}))
                 if out:
                     yield pd.concat(out)
 
-    found = scratch.keep(long.mapInPandas(anchors, "key string, a long, w long"))
+    found = scratch.keep(long.mapInPandas(anchors, "id long, a long, w long"))
     again = found.groupBy("a").agg(F.sum("w").alias("n")).where("n > 1").select("a")
-    hits = found.join(again, "a").groupBy("key").agg(F.collect_list("a").alias("again"))
+    hits = found.join(again, "a").groupBy("id").agg(F.collect_list("a").alias("again"))
 
     def positions(batches):
         for pdf in batches:
-            for key, m, t, again in zip(pdf["key"], pdf["m"], pdf["text"], pdf["again"], strict=True):
+            for key, m, t, again in zip(pdf["id"], pdf["m"], pdf["text"], pdf["again"], strict=True):
                 data = t.encode()
                 p = np.flatnonzero(np.isin(lowest(data).view(np.int64), np.asarray(again, dtype=np.int64)))
                 a, b = pairs(data)
-                yield pd.DataFrame({"key": key, "m": m, "p": p.astype(np.int32), "a": a[p], "b": b[p]})
+                yield pd.DataFrame({"id": key, "m": m, "p": p.astype(np.int32), "a": a[p], "b": b[p]})
 
-    ranked = scratch.keep(long.join(hits, "key").mapInPandas(positions, "key string, m long, p int, a long, b long"))
+    ranked = scratch.keep(long.join(hits, "id").mapInPandas(positions, "id long, m long, p int, a long, b long"))
     repeated = ranked.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
-    starts = ranked.join(repeated, ["a", "b"]).groupBy("key").agg(F.collect_list("p").alias("starts"))
+    starts = ranked.join(repeated, ["a", "b"]).groupBy("id").agg(F.collect_list("p").alias("starts"))
 
     def cut(batches):
         for pdf in batches:
             out = []
-            for key, t, starts in zip(pdf["key"], pdf["text"], pdf["starts"], strict=True):
+            for key, t, starts in zip(pdf["id"], pdf["text"], pdf["starts"], strict=True):
                 data = t.encode()
                 gone = cover(len(data), starts) if starts is not None else np.zeros(len(data), bool)
                 kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
                 out.append((key, len(data), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum()), kept))
-            yield pd.DataFrame(out, columns=["key", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    done = texts.select("key", "text").join(starts, "key", "left").mapInPandas(cut, "key string, n_bytes long, n_removed long, n_spans long, kept binary")
-    return rows.select("doc_id", "key").join(done, "key").drop("key")
+    done = texts.select("id", "text").join(starts, "id", "left").mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    named = rows.select("doc_id", "key").join(texts.select("key", "id"), "key").select("doc_id", "id")
+    return named.join(done, "id").drop("id")
 
