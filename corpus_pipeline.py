@@ -35,7 +35,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stage before made unique; rows without an id stay as they are.
     """
     named, lone = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    done = suffix_dedup.remove_repeats(named).where("n_removed > 0").select("doc_id", "n_bytes", "n_removed", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
+    done = suffix_dedup.remove_repeats(named, changed_only=True).where("n_removed > 0").select("doc_id", "n_bytes", "n_removed", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
     left = F.coalesce("whole", F.expr("make_valid_utf8(cast(kept as string))"))
     cut = named.join(done, "doc_id", "left")
     text = F.when(F.col("n_removed") > 0, F.regexp_replace(left, "�", "")).otherwise(F.col("text"))

@@ -76,5 +76,18 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def keep_bucketed(self, df: DataFrame, key: str) -> DataFrame:
+        """``keep`` in as many buckets of ``key`` as a shuffle has partitions, one file each.
+
+        Joins on ``key`` leave this side in place.
+        """
+        self.count += 1
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = f"tallyforge_{uuid.uuid4().hex}"
+        path = f"{self.base}/{self.count}"
+        writer = df.repartition(n, key).write.bucketBy(n, key).format("parquet").option("path", path)
+        writer.saveAsTable(name)
+        return self.spark.table(name)
+
     def drop(self, df: DataFrame) -> None:
         remove(self.spark, df._scratch_path)

@@ -4,19 +4,25 @@ Ranks of the strings of 2, 4, ... 256 bytes at every position are doubled inside
 64-bit fingerprints. Positions that can't repeat are dropped before Spark sorts any: all strings of
 400 bytes that are equal contain the same 64-byte string of lowest fingerprint at the same offset,
 so a position whose lowest 64-byte string is unique in the corpus is unique itself. The positions
-that are left are ranked by the pair (rank of 256 bytes here, rank of 256 bytes at offset 144),
-which covers 400 bytes, and pairs met more than once are past the threshold.
+that are left form blocks of up to 32 starts, cut at fixed distances from that lowest string, so
+that equal strings fall into equal blocks. A block is ranked by two pairs: the 369 bytes that all of
+its strings share, which if unique end the block, and the 431 bytes that they span, which if
+repeated settle it. Only starts of blocks that are neither, the ends of repeated passages, and one
+copy of each settled block that may hold the same strings, are ranked one by one by the pair (rank of 256 bytes here, rank of 256 bytes at offset 144), which covers 400
+bytes; pairs met more than once are past the threshold.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.scratch import Scratch
 
-LENGTH, ANCHOR, HALF = 400, 64, 256
+LENGTH, ANCHOR, HALF, BLOCK = 400, 64, 256, 32
 
 
 def doubled(data: bytes, length: int) -> np.ndarray:
@@ -43,32 +49,73 @@ def lowest(data: bytes) -> np.ndarray:
     return np.minimum(row[:n], row[width - span : width - span + n])
 
 
-def pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    row, n = doubled(data, HALF), len(data) - LENGTH + 1
-    return row[:n].view(np.int64), row[LENGTH - HALF : LENGTH - HALF + n].view(np.int64)
+def lowest_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``lowest`` and where its first place in each 400-byte string is."""
+    row, width, span = doubled(data, ANCHOR), LENGTH - ANCHOR + 1, 1
+    n = len(row) - width + 1
+    at = np.arange(len(row), dtype=np.int32)
+    while span * 2 <= width:
+        a, b = at[:-span], at[span:]
+        at = np.where(row[a] <= row[b], a, b)
+        span *= 2
+    a, b = at[:n], at[width - span : width - span + n]
+    at = np.where(row[a] <= row[b], a, b)
+    return row[at], at
+
+
+def pairs(row: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pair of 256-byte ranks that covers ``length`` bytes at each start."""
+    return row[starts].view(np.int64), row[starts + (length - HALF)].view(np.int64)
+
 
+def blocks(data: bytes, again: np.ndarray) -> dict[str, np.ndarray]:
+    """Blocks of starts whose lowest 64-byte string is one of ``again``.
 
-def cover(n: int, starts) -> np.ndarray:
-    """Which of ``n`` bytes are inside a repeated string that begins at one of ``starts``."""
+    ``p`` and ``c`` are the first start and their number, ``s0`` and ``s1`` stand for the bytes that
+    all strings of the block share, ``f0`` and ``f1`` for those that a whole block spans; ``f`` is
+    false where the text ends sooner.
+    """
+    low, at = lowest_at(data)
+    p = np.flatnonzero(np.isin(low.view(np.int64), again))
+    q = at[p].astype(np.int64)
+    k = (q - p) // BLOCK
+    new = np.append(True, (np.diff(p) != 1) | (np.diff(q) != 0) | (np.diff(k) != 0))[: len(p)]
+    head = np.flatnonzero(new)
+    count = np.diff(np.append(head, len(p)))
+    row = doubled(data, HALF)
+    core = q[head] - k[head] * BLOCK
+    wide = core - (BLOCK - 1)
+    whole = (wide >= 0) & (core + LENGTH <= len(data))
+    s0, s1 = pairs(row, core, LENGTH - BLOCK + 1)
+    f0, f1 = pairs(row, np.where(whole, wide, 0), LENGTH + BLOCK - 1 if whole.any() else HALF)
+    return {"p": p[head].astype(np.int32), "c": count.astype(np.int32), "s0": s0, "s1": s1, "f": whole, "f0": f0, "f1": f1}
+
+
+def cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of ``n`` bytes are inside a repeated string that begins at ``first`` to ``last``."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    at = np.asarray(starts, dtype=np.int64)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + LENGTH, -1)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, last + LENGTH, -1)
     return np.cumsum(edge)[:n] > 0
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, text: str = "text", digest: bool = False, changed_only: bool = False
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and the bytes ``kept`` of each row's text.
 
     A null text is empty. Texts shorter than 400 bytes stay whole. Rows with equal texts, repeated
     rows included, are handled once and count as often as they occur. Matches never cross rows.
+    ``digest`` gives the lowercase SHA-256 ``kept_sha256`` in place of the bytes. ``changed_only``
+    leaves out rows that lose nothing.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select("doc_id", body.alias("text")).withColumn("key", F.sha2("text", 256))
-    # ids are fixed by writing the table; rows of positions carry them instead of the long keys
-    texts = rows.groupBy("key").agg(F.count("*").alias("m"), F.first("text").alias("text"))
-    texts = scratch.keep(texts.withColumn("id", F.monotonically_increasing_id()))
+    key = F.unhex(F.substring(F.sha2(body, 256), 1, 32))
+    # texts are dealt by key once and written in buckets; all later joins with them stay in place
+    rows = scratch.keep(docs.select("doc_id", key.alias("id")))
+    texts = docs.select(key.alias("id"), body.alias("text")).groupBy("id").agg(F.count("*").alias("m"), F.first("text").alias("text"))
+    texts = scratch.keep_bucketed(texts, "id")
     long = texts.where(F.octet_length("text") >= LENGTH)
 
     def anchors(batches):
@@ -83,37 +130,73 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                     every = doubled(t.encode(), ANCHOR)
                     every.sort()
                     n = np.searchsorted(every, a, "right") - np.searchsorted(every, a, "left")
-                    out.append(pd.DataFrame({"id": key, "a": a.view(np.int64), "w": n * m}))
+                    out.append(pd.DataFrame({"id": [key] * len(a), "a": a.view(np.int64), "w": n * m}))
                 if out:
                     yield pd.concat(out)
 
-    found = scratch.keep(long.mapInPandas(anchors, "id long, a long, w long"))
+    found = scratch.keep(long.mapInPandas(anchors, "id binary, a long, w long"))
     again = found.groupBy("a").agg(F.sum("w").alias("n")).where("n > 1").select("a")
     hits = found.join(again, "a").groupBy("id").agg(F.collect_list("a").alias("again"))
 
-    def positions(batches):
+    def block_rows(batches):
         for pdf in batches:
             for key, m, t, again in zip(pdf["id"], pdf["m"], pdf["text"], pdf["again"], strict=True):
-                data = t.encode()
-                p = np.flatnonzero(np.isin(lowest(data).view(np.int64), np.asarray(again, dtype=np.int64)))
-                a, b = pairs(data)
-                yield pd.DataFrame({"id": key, "m": m, "p": p.astype(np.int32), "a": a[p], "b": b[p]})
-
-    ranked = scratch.keep(long.join(hits, "id").mapInPandas(positions, "id long, m long, p int, a long, b long"))
-    repeated = ranked.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
-    starts = ranked.join(repeated, ["a", "b"]).groupBy("id").agg(F.collect_list("p").alias("starts"))
+                made = pd.DataFrame(blocks(t.encode(), np.asarray(again, dtype=np.int64)))
+                made.insert(0, "id", [key] * len(made))
+                made.insert(1, "m", m)
+                yield made
+
+    form = "id binary, m long, p int, c int, s0 long, s1 long, f boolean, f0 long, f1 long"
+    ranked = scratch.keep(long.join(hits.hint("shuffle_hash"), "id").mapInPandas(block_rows, form))
+    scratch.drop(found)
+    shared = ranked.groupBy("s0", "s1").agg(F.sum("m").alias("n")).where("n > 1").select("s0", "s1")
+    spanned = ranked.where("f").groupBy("f0", "f1").agg(F.sum("m").alias("n")).where("n > 1").select("f0", "f1", F.lit(True).alias("settled"))
+    left = ranked.join(shared, ["s0", "s1"]).withColumn("f0", F.when(F.col("f"), F.col("f0")))
+    state = left.join(spanned, ["f0", "f1"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    state = scratch.keep(state.select("id", "m", "p", "c", "s0", "s1", "f0", "f1", "settled"))
+    scratch.drop(ranked)
+    # strings of an open block may also be in a settled one, of which one copy stands for all
+    unsettled = state.where("not settled")
+    copy = state.where("settled").groupBy("f0", "f1").agg(F.min(F.struct("id", "p", "c", "s0", "s1")).alias("x")).select("x.*")
+    copy = copy.join(unsettled.select("s0", "s1").distinct(), ["s0", "s1"], "left_semi")
+    listed = unsettled.select("id", "p", "c", "m").unionByName(copy.select("id", "p", "c", F.lit(2).cast("long").alias("m")))
+    open_rows = listed.groupBy("id").agg(F.collect_list(F.struct("p", "c", "m")).alias("runs"))
 
-    def cut(batches):
+    def positions(batches):
         for pdf in batches:
-            out = []
-            for key, t, starts in zip(pdf["id"], pdf["text"], pdf["starts"], strict=True):
+            for key, t, runs in zip(pdf["id"], pdf["text"], pdf["runs"], strict=True):
                 data = t.encode()
-                gone = cover(len(data), starts) if starts is not None else np.zeros(len(data), bool)
-                kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                out.append((key, len(data), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum()), kept))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                p = np.concatenate([np.arange(r["p"], r["p"] + r["c"]) for r in runs])
+                a, b = pairs(doubled(data, HALF), p, LENGTH)
+                m = np.repeat([r["m"] for r in runs], [r["c"] for r in runs])
+                yield pd.DataFrame({"id": [key] * len(p), "m": m, "p": p.astype(np.int32), "a": a, "b": b})
 
-    done = texts.select("id", "text").join(starts, "id", "left").mapInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
-    named = rows.select("doc_id", "key").join(texts.select("key", "id"), "key").select("doc_id", "id")
-    return named.join(done, "id").drop("id")
+    single = scratch.keep(long.select("id", "text").join(open_rows.hint("shuffle_hash"), "id").mapInPandas(positions, "id binary, m long, p int, a long, b long"))
+    repeated = single.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
+    met = single.join(repeated, ["a", "b"]).select("id", "p", F.lit(1).alias("c")).unionByName(state.where("settled").select("id", "p", "c"))
+    starts = met.groupBy("id").agg(F.collect_list(F.struct("p", "c")).alias("runs"))
 
+    def cut(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 200):
+                out = []
+                part = pdf.iloc[at : at + 200]
+                for key, t, runs in zip(part["id"], part["text"], part["runs"], strict=True):
+                    data = t.encode()
+                    n = len(data)
+                    if runs is not None and len(runs):
+                        p = np.array([r["p"] for r in runs], dtype=np.int64)
+                        c = np.array([r["c"] for r in runs], dtype=np.int64)
+                        gone = cover(n, p, p + c - 1)
+                    else:
+                        gone = np.zeros(n, bool)
+                    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
+                    spans = int((gone & ~np.append(False, gone[:-1])[:n]).sum())
+                    out.append((key, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept))
+                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", last])
+
+    last = "kept_sha256" if digest else "kept"
+    form = f"id binary, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}"
+    how = "inner" if changed_only else "left"
+    done = texts.select("id", "text").join(starts.hint("shuffle_hash"), "id", how).mapInPandas(cut, form)
+    return rows.join(done, "id").drop("id")

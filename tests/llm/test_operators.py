@@ -57,20 +57,45 @@ def test_minhash(spark):
     assert all(rows[i].kept and rows[i].component_id == i for i in (0, 1, 2, 3, 4, 5))
 
 
-def test_suffix(spark):
+def passages(seed):
+    """Texts of shared, cut and repeated passages, with periodic stretches and copies."""
+    import random
+
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abcde é") for _ in range(rng.randint(380, 900))) for _ in range(4)] + ["ab" * 260, "xyz " * 120]
+    texts = []
+    for _ in range(14):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            got = rng.choice(pool)
+            parts.append(got[rng.randint(0, 40) : len(got) - rng.randint(0, 40)])
+            parts.append("".join(rng.choice("pqrst") for _ in range(rng.randint(0, 60))))
+        texts.append("".join(parts))
+    return [*texts, texts[0], texts[1], texts[2] + "!", None, ""]
+
+
+@pytest.mark.parametrize("texts", [TEXTS, passages(1), passages(2)])
+def test_suffix(spark, texts):
     from tallyforge.llm.suffix_dedup import remove_repeats
 
-    got = {r.doc_id: r for r in remove_repeats(frame(spark)).collect()}
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, id string")
+    got = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    digests = {r.doc_id: r for r in remove_repeats(docs, digest=True).collect()}
     count = {}
-    for t in TEXTS:
+    for t in texts:
         b = (t or "").encode()
         for i in range(len(b) - 399):
             count[b[i : i + 400]] = count.get(b[i : i + 400], 0) + 1
-    for i, t in enumerate(TEXTS):
+    for i, t in enumerate(texts):
         b = (t or "").encode()
-        gone = [any(count.get(b[k : k + 400], 0) > 1 for k in range(max(0, p - 399), p + 1) if k + 400 <= len(b)) for p in range(len(b))]
+        start = [count[b[k : k + 400]] > 1 for k in range(len(b) - 399)]
+        gone = [any(start[max(0, p - 399) : p + 1]) for p in range(len(b))]
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        assert (got[i].n_removed, hashlib.sha256(bytes(got[i].kept)).hexdigest()) == (sum(gone), hashlib.sha256(kept).hexdigest())
+        spans = sum(g and not (p and gone[p - 1]) for p, g in enumerate(gone))
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, bytes(got[i].kept)) == (len(b), sum(gone), spans, kept)
+        assert digests[i].kept_sha256 == hashlib.sha256(kept).hexdigest()
+    assert {r.doc_id for r in remove_repeats(docs, changed_only=True).collect()} == {i for i in got if got[i].n_removed}
+    assert remove_repeats(docs.limit(0)).count() == 0
 
 
 def test_embeddings(spark):
