@@ -33,6 +33,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has audio: the UTF-8 bytes of every whole text are taken as an 8-bit recording."""
+    from tallyforge.llm.chroma import align
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("media"))
+    return align(docs, F.col("doc_id") % 20 == 0)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyforge.llm.quality import score_quality
 
@@ -87,6 +95,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
+    "op3_media_fingerprints": op3_media_fingerprints,
     "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_html_text": op6_html_text,
