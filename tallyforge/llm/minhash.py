@@ -9,7 +9,7 @@
    enough are confirmed on the full sets, and links give components.
 4. That leaves pairs of a bucket whose members are in different components. Where a bucket has
    such pairs, every member outside the bucket's largest component is compared with all members of
-   other components, unless sizes alone rule a link out. After that no pair of any bucket that
+   other components, unless sizes or sketches of one bit a minimum rule a link out. After that no pair of any bucket that
    could change the components is left, so the result is that of comparing all pairs of all
    buckets, while a bucket full of copies costs one comparison a member.
 """
@@ -38,6 +38,10 @@ class Settings:
     #: share of equal signature bytes below which a pair is not looked at further; a pair at the
     #: threshold falls below it with a probability under 1e-8
     least_agreement: float = 0.62
+    #: of the sketch's bits, one a minimum, at most this many differ in a pair that is looked at: equal
+    #: bits are a share of (1 + Jaccard) / 2, and a pair at the threshold differs in more of 200 bits
+    #: with a probability of 2e-8
+    most_bits: int = 46
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -101,6 +105,25 @@ class Minima:
         return low >> np.uint64(32)
 
 
+SKETCH = ("k0", "k1", "k2", "k3")
+
+
+def sketch(low: np.ndarray) -> list[int]:
+    """The lowest bit of each of up to 256 minima, in four numbers."""
+    bits = np.zeros(64 * len(SKETCH), dtype=np.uint8)
+    bits[: len(low)] = low & np.uint64(1)
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def near_sketch(x: str, y: str, s: Settings):
+    """Condition that the sketches in the columns with prefixes ``x`` and ``y`` differ in few bits."""
+    return sum((F.bit_count(F.col(x + c).bitwiseXOR(F.col(y + c))) for c in SKETCH), F.lit(0)) <= s.most_bits
+
+
+def sketch_as(prefix: str) -> list:
+    return [F.col(c).alias(prefix + c) for c in SKETCH]
+
+
 def signatures(df: DataFrame, s: Settings, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, two halves of a hash of the set, 64-bit band keys, and a byte of each minimum.
 
@@ -115,6 +138,7 @@ def signatures(df: DataFrame, s: Settings, text: str = "text", key: str = "doc_i
             T.StructField("set_b", T.LongType()),
             T.StructField("bands", T.ArrayType(T.LongType())),
             T.StructField("signature", T.BinaryType()),
+            *[T.StructField(c, T.LongType()) for c in SKETCH],
         ]
     )
 
@@ -127,7 +151,7 @@ def signatures(df: DataFrame, s: Settings, text: str = "text", key: str = "doc_i
 
             found = shingler.shingles(text)
             if not len(found):
-                return 0, None, None, None, None
+                return 0, None, None, None, None, *[None] * len(SKETCH)
             digest = xxhash.xxh3_128_digest(found.tobytes())
             made = cached.get(digest)
             if made is None:
@@ -135,7 +159,7 @@ def signatures(df: DataFrame, s: Settings, text: str = "text", key: str = "doc_i
                 value = np.arange(s.bands, dtype=np.uint64)
                 for r in range(s.rows):
                     value = scramble(value * MIX + low[r :: s.rows])
-                made = (value.view(np.int64), (low & np.uint64(255)).astype(np.uint8).tobytes())
+                made = (value.view(np.int64), (low & np.uint64(255)).astype(np.uint8).tobytes(), *sketch(low))
                 if len(cached) > 2000:
                     cached.clear()
                 cached[digest] = made
@@ -144,8 +168,8 @@ def signatures(df: DataFrame, s: Settings, text: str = "text", key: str = "doc_i
 
         def run(texts):
             rows = [one(t) for t in texts]
-            n, a, b, bands, low = zip(*rows, strict=True)
-            return [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())]
+            n, a, b, bands, low, *bits = zip(*rows, strict=True)
+            return [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary()), *[pa.array(x, pa.int64()) for x in bits]]
 
         return run
 
@@ -235,30 +259,33 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     stars = bands.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1")
     shared = scratch.keep(bands.join(stars, "bucket"))
     fits = lambda x, y: F.col(x) * 100 >= F.col(y) * s.percent
-    centres = chosen.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"))
-    first = shared.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"), F.col("n").alias("nb")).distinct()
-    first = scratch.keep(first.join(centres, "a").where(fits("na", "nb") & fits("nb", "na")).select("a", "b").distinct())
+    centres = chosen.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), *sketch_as("a"))
+    members = chosen.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), *sketch_as("b"))
+    first = shared.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    first = first.join(centres, "a").join(members, "b").where(fits("na", "nb") & fits("nb", "na") & near_sketch("a", "b", s))
+    first = scratch.keep(first.select("a", "b").distinct())
     links = confirm(first, chosen, docs, s, scratch)
     found = connected_components(links, scratch)
 
     labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = scratch.keep(labelled.join(mixed, "bucket", "left_semi"))
+    open_rows = labelled.join(mixed, "bucket", "left_semi").join(chosen.select("doc_id", *SKETCH), "doc_id")
+    open_rows = scratch.keep(open_rows)
     largest = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
     largest = largest.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top")).select("bucket", F.col("top.component").alias("top"))
     sided = open_rows.join(largest, "bucket")
-    small = sided.where("component <> top").select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    other = sided.select("bucket", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("top"))
+    small = sided.where("component <> top").select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *sketch_as("x"))
+    other = sided.select("bucket", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("top"), *sketch_as("y"))
     # both members outside the largest component meet twice; the smaller id leads
-    rest = small.join(other, "bucket").where("cx <> cy and (cy = top or x < y)").where(fits("nx", "ny") & fits("ny", "nx"))
+    rest = small.join(other, "bucket").where("cx <> cy and (cy = top or x < y)").where(fits("nx", "ny") & fits("ny", "nx") & near_sketch("x", "y", s))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = confirm(scratch.keep(rest), chosen, docs, s, scratch)
     found = scratch.keep(connected_components(links.unionByName(more), scratch))
 
-    members = classes.select("set_a", "set_b", F.col("doc_id").alias("class_id"))
-    rows = marks.select("doc_id", "n_shingles", "set_a", "set_b").join(members, ["set_a", "set_b"], "left")
+    named = classes.select("set_a", "set_b", F.col("doc_id").alias("class_id"))
+    rows = marks.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     rows = rows.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
