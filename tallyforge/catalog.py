@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyforge.operators import contamination, statistics
+from tallyforge.operators import contamination, evaluation, statistics
 
-QUERIES = contamination.QUERIES | statistics.QUERIES
-ORACLES = contamination.ORACLES | statistics.ORACLES
+QUERIES = contamination.QUERIES | statistics.QUERIES | evaluation.QUERIES
+ORACLES = contamination.ORACLES | statistics.ORACLES | evaluation.ORACLES

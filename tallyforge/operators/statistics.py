@@ -37,7 +37,7 @@ SELECT probe, run, triggered, sum(triggered) OVER w * 2 > count(*) OVER w AS wor
 }
 
 
-def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+def shared_query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     names = [n for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations") if n in text]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +52,5 @@ def _with_views(spark: SparkSession, sf_dir: str, text: str, names: list[str]) -
     return spark.sql(text)
 
 
-QUERIES = {name: _run(text) for name, text in SHARED.items()}
+QUERIES = {name: shared_query(text) for name, text in SHARED.items()}
 ORACLES = dict(SHARED)
