@@ -204,7 +204,7 @@ s AS (SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM d) SELECT
 s AS (SELECT *, (0.55e0 - 0.45e0) / 3.92e0 AS ref, sqrt(p * (1 - p) / n) AS own FROM r)
 SELECT event_type, n, round(p - 0.5e0, 4) AS delta, round((p - 0.5e0) / sqrt(ref * ref + own * own), 4) AS z, round(p - 0.5e0 - 1.96e0 * sqrt(ref * ref + own * own), 4) AS lo, round(p - 0.5e0 + 1.96e0 * sqrt(ref * ref + own * own), 4) AS hi FROM s""",
     "condition_deltas": """WITH r AS (SELECT CAST(ts AS DATE) AS day, avg(CASE WHEN event_type = 'error' THEN value END) AS a, avg(CASE WHEN event_type = 'signup' THEN value END) AS b FROM events GROUP BY CAST(ts AS DATE))
-SELECT day, round(a, 4) AS base, round(b, 4) AS changed, round(b - a, 4) AS delta, coalesce(b - a < -0.02e0, false) AS regressed FROM r""",
+SELECT day, round(a, 6) AS base, round(b, 6) AS changed, round(b - a, 6) AS delta, coalesce(b - a < -0.02e0, false) AS regressed FROM r""",
     "cost_per_task": "SELECT event_type, count(*) AS trials, round(sum(value), 4) AS cost, round(sum(value) / CASE WHEN count(DISTINCT user_id) = 0 THEN 1 ELSE count(DISTINCT user_id) END, 4) AS cost_per_task FROM events GROUP BY event_type",
     "kept_runs": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k <= 50",
     "channel_transitions": """WITH r AS (SELECT event_type AS now, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
