@@ -71,9 +71,10 @@ def pairs(row: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray,
 def blocks(data: bytes, again: np.ndarray) -> dict[str, np.ndarray]:
     """Blocks of starts whose lowest 64-byte string is one of ``again``.
 
-    ``p`` and ``c`` are the first start and their number, ``s0`` and ``s1`` stand for the bytes that
-    all strings of the block share, ``f0`` and ``f1`` for those that a whole block spans; ``f`` is
-    false where the text ends sooner.
+    A block is the 32 starts up to ``core``, once a text however often the lowest string changes
+    inside it; bit j of ``mask`` says whether the start ``core`` - j is one of it. ``s0`` and ``s1``
+    stand for the bytes that all strings of the block share, ``f0`` and ``f1`` for those that a whole
+    block spans; ``f`` is false where the text ends sooner.
     """
     low, at = lowest_at(data)
     p = np.flatnonzero(np.isin(low.view(np.int64), again))
@@ -83,12 +84,22 @@ def blocks(data: bytes, again: np.ndarray) -> dict[str, np.ndarray]:
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(p)))
     row = doubled(data, HALF)
-    core = q[head] - k[head] * BLOCK
+    # runs of starts with several lowest strings can lie in one block
+    core, of = np.unique(q[head] - k[head] * BLOCK, return_inverse=True)
+    last = p[head] + count - 1
+    mask = np.zeros(len(core), dtype=np.int64)
+    np.bitwise_or.at(mask, of, ((1 << count) - 1) << (core[of] - last))
     wide = core - (BLOCK - 1)
     whole = (wide >= 0) & (core + LENGTH <= len(data))
     s0, s1 = pairs(row, core, LENGTH - BLOCK + 1)
     f0, f1 = pairs(row, np.where(whole, wide, 0), LENGTH + BLOCK - 1 if whole.any() else HALF)
-    return {"p": p[head].astype(np.int32), "c": count.astype(np.int32), "s0": s0, "s1": s1, "f": whole, "f0": f0, "f1": f1}
+    return {"core": core.astype(np.int32), "mask": mask.astype(np.uint32).view(np.int32), "s0": s0, "s1": s1, "f": whole, "f0": f0, "f1": f1}
+
+
+def starts_of(core: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of blocks, and which block each is of."""
+    of, bit = np.nonzero(mask.astype(np.int64)[:, None] >> np.arange(BLOCK) & 1)
+    return core[of] - bit, of
 
 
 def cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -146,35 +157,35 @@ def remove_repeats(
                 made.insert(1, "m", m)
                 yield made
 
-    form = "id binary, m long, p int, c int, s0 long, s1 long, f boolean, f0 long, f1 long"
+    form = "id binary, m long, core int, mask int, s0 long, s1 long, f boolean, f0 long, f1 long"
     ranked = scratch.keep(long.join(hits.hint("shuffle_hash"), "id").mapInPandas(block_rows, form))
     scratch.drop(found)
     shared = ranked.groupBy("s0", "s1").agg(F.sum("m").alias("n")).where("n > 1").select("s0", "s1")
     spanned = ranked.where("f").groupBy("f0", "f1").agg(F.sum("m").alias("n")).where("n > 1").select("f0", "f1", F.lit(True).alias("settled"))
     left = ranked.join(shared, ["s0", "s1"]).withColumn("f0", F.when(F.col("f"), F.col("f0")))
     state = left.join(spanned, ["f0", "f1"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    state = scratch.keep(state.select("id", "m", "p", "c", "s0", "s1", "f0", "f1", "settled"))
+    state = scratch.keep(state.select("id", "m", "core", "mask", "s0", "s1", "f0", "f1", "settled"))
     scratch.drop(ranked)
     # strings of an open block may also be in a settled one, of which one copy stands for all
     unsettled = state.where("not settled")
-    copy = state.where("settled").groupBy("f0", "f1").agg(F.min(F.struct("id", "p", "c", "s0", "s1")).alias("x")).select("x.*")
+    copy = state.where("settled").groupBy("f0", "f1").agg(F.min(F.struct("id", "core", "mask", "s0", "s1")).alias("x")).select("x.*")
     copy = copy.join(unsettled.select("s0", "s1").distinct(), ["s0", "s1"], "left_semi")
-    listed = unsettled.select("id", "p", "c", "m").unionByName(copy.select("id", "p", "c", F.lit(2).cast("long").alias("m")))
-    open_rows = listed.groupBy("id").agg(F.collect_list(F.struct("p", "c", "m")).alias("runs"))
+    listed = unsettled.select("id", "core", "mask", "m").unionByName(copy.select("id", "core", "mask", F.lit(2).cast("long").alias("m")))
+    open_rows = listed.groupBy("id").agg(F.collect_list(F.struct("core", "mask", "m")).alias("runs"))
 
     def positions(batches):
         for pdf in batches:
             for key, t, runs in zip(pdf["id"], pdf["text"], pdf["runs"], strict=True):
                 data = t.encode()
-                p = np.concatenate([np.arange(r["p"], r["p"] + r["c"]) for r in runs])
+                p, of = starts_of(*(np.array([r[c] for r in runs], dtype=np.int64) for c in ("core", "mask")))
                 a, b = pairs(doubled(data, HALF), p, LENGTH)
-                m = np.repeat([r["m"] for r in runs], [r["c"] for r in runs])
+                m = np.array([r["m"] for r in runs])[of]
                 yield pd.DataFrame({"id": [key] * len(p), "m": m, "p": p.astype(np.int32), "a": a, "b": b})
 
     single = scratch.keep(long.select("id", "text").join(open_rows.hint("shuffle_hash"), "id").mapInPandas(positions, "id binary, m long, p int, a long, b long"))
     repeated = single.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
-    met = single.join(repeated, ["a", "b"]).select("id", "p", F.lit(1).alias("c")).unionByName(state.where("settled").select("id", "p", "c"))
-    starts = met.groupBy("id").agg(F.collect_list(F.struct("p", "c")).alias("runs"))
+    met = single.join(repeated, ["a", "b"]).select("id", F.col("p").alias("core"), F.lit(1).alias("mask")).unionByName(state.where("settled").select("id", "core", "mask"))
+    starts = met.groupBy("id").agg(F.collect_list(F.struct("core", "mask")).alias("runs"))
 
     def cut(batches):
         for pdf in batches:
@@ -185,9 +196,8 @@ def remove_repeats(
                     data = t.encode()
                     n = len(data)
                     if runs is not None and len(runs):
-                        p = np.array([r["p"] for r in runs], dtype=np.int64)
-                        c = np.array([r["c"] for r in runs], dtype=np.int64)
-                        gone = cover(n, p, p + c - 1)
+                        p, _ = starts_of(*(np.array([r[c] for r in runs], dtype=np.int64) for c in ("core", "mask")))
+                        gone = cover(n, p, p)
                     else:
                         gone = np.zeros(n, bool)
                     kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
