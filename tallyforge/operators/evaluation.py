@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyforge.operators.contamination import WORDS, tokens
+from tallyforge.operators.contamination import WORDS, _CONTAIN, containment, tokens
 from tallyforge.operators.statistics import shared_query
 
 # Patterns that decide the scores, searched without regard to case.
@@ -120,9 +120,8 @@ def tournament_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("rank", rank).where("rank <= 20")
 
 
-def tfidf_cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best document of each item by cosine of TF-IDF weights, the smallest id in a tie, else -1."""
-    items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+def cosines(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id and doc_id as strings and the cosine of the TF-IDF weights of every pair that shares a token."""
     left = items.select(F.col("item_id").cast("string").alias("id"), F.lit(True).alias("item"), tokens(F.col("text")).alias("w"))
     right = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit(False).alias("item"), tokens(F.col("text")).alias("w"))
     both = left.unionByName(right).where(F.size("w") > 0)
@@ -137,12 +136,40 @@ def tfidf_cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     dots = a.join(b, "token").groupBy("item_id", "doc_id").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
     dots = dots.join(norms.where("item").select(F.col("id").alias("item_id"), F.col("norm").alias("na")), "item_id")
     dots = dots.join(norms.where("not item").select(F.col("id").alias("doc_id"), F.col("norm").alias("nb")), "doc_id")
-    close = F.round(F.col("dot") / F.col("na") / F.col("nb"), 4)
-    best = dots.groupBy("item_id").agg(F.max(F.struct(close.alias("cosine"), (-F.col("doc_id").cast("long")).alias("low"))).alias("top"))
+    return dots.select("item_id", "doc_id", (F.col("dot") / F.col("na") / F.col("nb")).alias("cosine"))
+
+
+def tfidf_cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best document of each item by cosine of TF-IDF weights, the smallest id in a tie, else -1."""
+    items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    close = F.round("cosine", 4)
+    best = cosines(items, docs).groupBy("item_id").agg(F.max(F.struct(close.alias("cosine"), (-F.col("doc_id").cast("long")).alias("low"))).alias("top"))
     out = items.select(F.col("item_id").cast("string").alias("item_id")).join(best, "item_id", "left")
     return out.select("item_id", F.coalesce("top.cosine", F.lit(0.0)).alias("max_cosine"), F.coalesce(-F.col("top.low"), F.lit(-1)).alias("doc_id"), (F.coalesce("top.cosine", F.lit(0.0)) >= 0.85).alias("contaminated"))
 
 
+def verdicts(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """Each item's highest 8-gram share and cosine, a flag for each, and whether either is set.
+
+    Values are rounded after they are compared.
+    """
+    key = F.col("item_id").cast("string").alias("item_id")
+    grams = containment(items, docs).groupBy(key).agg(F.max("share").alias("share"))
+    close = cosines(items, docs).groupBy("item_id").agg(F.max("cosine").alias("cosine"))
+    rows = items.select(key).join(grams, "item_id", "left").join(close, "item_id", "left").na.fill(0.0, ["share", "cosine"])
+    exact, near = F.col("share") >= 1.0, F.col("cosine") >= 0.85
+    return rows.select("item_id", F.round("share", 4).alias("max_ngram"), F.round("cosine", 4).alias("max_cosine"), exact.alias("ngram_flag"), near.alias("cosine_flag"), (exact | near).alias("contaminated"))
+
+
+def contamination_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def contamination_verdict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = F.count_if("contaminated")
+    return contamination_verdicts(spark, sf_dir).agg(F.count("*").alias("items"), F.count_if("ngram_flag").alias("ngram_violations"), F.count_if("cosine_flag").alias("cosine_violations"), bad.alias("violations"), F.round(bad / F.greatest(F.count("*"), F.lit(1)), 4).alias("contamination_rate"), (bad == 0).alias("clean"))
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -192,6 +219,20 @@ QUERIES = {
 }
 
 #: Queries whose text both engines read alike.
+_VERDICTS = f"""{_CONTAIN}, b AS (SELECT CAST(item_id AS VARCHAR) AS id, true AS item, {WORDS} AS w FROM benchmark UNION ALL SELECT CAST(doc_id AS VARCHAR), false, {WORDS} FROM documents),
+c AS (SELECT id, item, token, count(*) AS n FROM (SELECT id, item, unnest(w) AS token FROM b) GROUP BY ALL),
+f AS (SELECT token, count(*) AS df FROM c GROUP BY 1), t AS (SELECT count(*) AS total FROM b WHERE len(w) > 0),
+x AS MATERIALIZED (SELECT id, item, token, n * (ln((total + 1) / (df + 1)) + 1) AS x FROM c JOIN f USING (token), t),
+l AS (SELECT id, item, sqrt(sum(x * x)) AS norm FROM x GROUP BY ALL),
+p AS (SELECT a.id AS item_id, b.id AS doc_id, sum(a.x * b.x) AS dot FROM x a JOIN x b USING (token) WHERE a.item AND NOT b.item GROUP BY ALL),
+o AS (SELECT item_id, max(dot / l.norm / k.norm) AS cosine FROM p JOIN l ON l.id = item_id AND l.item JOIN l k ON k.id = doc_id AND NOT k.item GROUP BY 1),
+v AS (SELECT CAST(r.item_id AS VARCHAR) AS item_id, r.max_ngram, round(coalesce(cosine, 0), 4) AS max_cosine, r.contaminated AS ngram_flag, coalesce(cosine, 0) >= 0.85 AS cosine_flag, r.contaminated OR coalesce(cosine, 0) >= 0.85 AS contaminated FROM r LEFT JOIN o ON o.item_id = CAST(r.item_id AS VARCHAR))"""
+ORACLES |= {
+    "contamination_verdicts": f"{_VERDICTS} SELECT * FROM v",
+    "contamination_verdict_report": f"{_VERDICTS} SELECT count(*) AS items, count(*) FILTER (ngram_flag) AS ngram_violations, count(*) FILTER (cosine_flag) AS cosine_violations, count(*) FILTER (contaminated) AS violations, round(count(*) FILTER (contaminated) / greatest(count(*), 1), 4) AS contamination_rate, count(*) FILTER (contaminated) = 0 AS clean FROM v",
+}
+QUERIES |= {"contamination_verdicts": contamination_verdicts, "contamination_verdict_report": contamination_verdict_report}
+
 SHARED = {
     "pass_at_1_rollup": """WITH r AS (SELECT conv_id % 5 AS dimension, turn AS trial, CASE WHEN length(text) > 200 THEN 1.0e0 ELSE 0.0e0 END AS ok FROM conversations)
 SELECT dimension, trial, count(*) AS n, round(avg(ok), 4) AS rate FROM r GROUP BY GROUPING SETS ((dimension), (trial), ())""",
