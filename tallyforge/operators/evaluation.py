@@ -252,6 +252,8 @@ SELECT day, round(a, 6) AS base, round(b, 6) AS changed, round(b - a, 6) AS delt
 SELECT before, now, count(*) AS n FROM r WHERE before IS NOT NULL GROUP BY before, now""",
     "dimension_union": """WITH a AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang), b AS (SELECT d.lang, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang)
 SELECT coalesce(a.lang, b.lang) AS lang, a.n AS even_rows, b.n AS labelled FROM a FULL OUTER JOIN b ON a.lang = b.lang""",
+    "dimension_union_whole": """WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), b AS (SELECT d.lang, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang)
+SELECT coalesce(a.lang, b.lang) AS lang, a.n AS all_rows, b.n AS labelled FROM a FULL OUTER JOIN b ON a.lang IS NOT DISTINCT FROM b.lang""",
 }
 QUERIES |= {name: shared_query(text) for name, text in SHARED.items()}
 ORACLES |= SHARED

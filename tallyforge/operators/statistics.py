@@ -34,6 +34,7 @@ SELECT probe, run, triggered, sum(triggered) OVER w * 2 > count(*) OVER w AS wor
     "embargo_filter": """SELECT doc_id, source FROM documents WHERE source <> 'src0'""",
     "latency_percentiles": """SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 4) AS p50, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY value), 4) AS p95 FROM events GROUP BY event_type""",
     "label_upsert": """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.quality, b.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) a FULL OUTER JOIN (SELECT doc_id, toxic AS quality FROM labels WHERE doc_id % 3 = 0) b ON a.doc_id = b.doc_id""",
+    "label_upsert_whole": """SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.quality, b.quality) AS quality FROM (SELECT doc_id, quality FROM labels WHERE doc_id IS NOT NULL) a FULL OUTER JOIN (SELECT doc_id, toxic AS quality FROM labels WHERE doc_id IS NOT NULL) b ON a.doc_id = b.doc_id""",
 }
 
 
