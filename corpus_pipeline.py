@@ -18,31 +18,50 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, carry=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``key``: the id where one row has it, else a number above all ids.
+
+    Rows that repeat an id and a text are one; rows without an id are rows of their own.
+    """
+    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
+    scratch = Scratch(docs.sparkSession, "keys")
+    again = scratch.keep(again)
+    if again.isEmpty():
+        return docs.withColumn("key", F.col("doc_id").cast("long"))
+    named = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    odd = named.unionByName(docs.where("doc_id is null"))
+    # numbered once, as a reread may deal rows otherwise
+    odd = scratch.keep(odd.withColumn("number", F.monotonically_increasing_id()))
+    top = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long").alias("top"))
+    odd = odd.join(F.broadcast(top)).withColumn("key", F.col("top") + 1 + F.col("number")).drop("top", "number")
+    usual = docs.where("doc_id is not null").join(again, "doc_id", "left_anti").withColumn("key", F.col("doc_id").cast("long"))
+    return usual.select(*docs.columns, "key").unionByName(odd.select(*docs.columns, "key"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows that repeat an id and a text are one.
 
     Texts without words have no near-duplicates and stay.
     """
-    found = minhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(found, "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    rows = keyed(docs)
+    found = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("key"))
+    return rows.join(found, "key", "left_semi").select(*docs.columns)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 400-byte strings; documents with nothing left go.
 
-    Where a cut divides a character, its other bytes go too. Rows are told apart by id, which the
-    stage before made unique; rows without an id stay as they are.
+    Where a cut divides a character, its other bytes go too.
     """
-    named, lone = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    done = suffix_dedup.remove_repeats(named, changed_only=True).where("n_removed > 0").select("doc_id", "n_bytes", "n_removed", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
+    rows = keyed(docs)
+    done = suffix_dedup.remove_repeats(rows.select(F.col("key").alias("doc_id"), "text"), changed_only=True).where("n_removed > 0").select(F.col("doc_id").alias("key"), "n_bytes", "n_removed", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
     left = F.coalesce("whole", F.expr("make_valid_utf8(cast(kept as string))"))
-    cut = named.join(done, "doc_id", "left")
+    cut = rows.join(done, "key", "left")
     text = F.when(F.col("n_removed") > 0, F.regexp_replace(left, "�", "")).otherwise(F.col("text"))
     out = cut.where("n_removed is null or n_removed < n_bytes").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns).unionByName(lone)
+    return out.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

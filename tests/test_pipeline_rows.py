@@ -1,0 +1,22 @@
+"""Stages of the pipeline on tables with repeated and null ids."""
+
+import random
+
+import corpus_pipeline
+
+
+def words(seed, n=120):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c, p = words(1), words(2), words(3), words(4, 70)
+    rows = [(1, a), (1, b), (2, c), (2, c), (None, a), (None, words(5)), (None, p + words(6)), (3, words(7) + p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_copies(spark, docs, "")
+    texts = [r.text for r in left.collect()]
+    assert sorted(texts) == sorted({t for _, t in rows})
+    cut = {(r.doc_id, r.text) for r in corpus_pipeline.drop_repeats(spark, left, "").collect()}
+    assert len(cut) == len(texts)
+    assert not any(p[:400] in t for _, t in cut)
