@@ -54,10 +54,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Where a cut divides a character, its other bytes go too.
     """
     rows = keyed(docs)
-    done = suffix_dedup.remove_repeats(rows.select(F.col("key").alias("doc_id"), "text"), changed_only=True).where("n_removed > 0").select(F.col("doc_id").alias("key"), "n_bytes", "n_removed", F.expr("try_validate_utf8(cast(kept as string))").alias("whole"), "kept")
-    left = F.coalesce("whole", F.expr("make_valid_utf8(cast(kept as string))"))
+    done = suffix_dedup.remove_repeats(rows.select(F.col("key").alias("doc_id"), "text"), changed_only=True, characters=True).where("n_removed > 0").select(F.col("doc_id").alias("key"), "n_bytes", "n_removed", F.col("kept").cast("string").alias("left"))
     cut = rows.join(done, "key", "left")
-    text = F.when(F.col("n_removed") > 0, F.regexp_replace(left, "�", "")).otherwise(F.col("text"))
+    text = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col("text"))
     out = cut.where("n_removed is null or n_removed < n_bytes").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

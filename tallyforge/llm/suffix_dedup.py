@@ -111,14 +111,15 @@ def cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", digest: bool = False, changed_only: bool = False
+    docs: DataFrame, text: str = "text", digest: bool = False, changed_only: bool = False, characters: bool = False
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and the bytes ``kept`` of each row's text.
 
     A null text is empty. Texts shorter than 400 bytes stay whole. Rows with equal texts, repeated
     rows included, are handled once and count as often as they occur. Matches never cross rows.
     ``digest`` gives the lowercase SHA-256 ``kept_sha256`` in place of the bytes. ``changed_only``
-    leaves out rows that lose nothing.
+    leaves out rows that lose nothing. ``characters`` also removes the other bytes of characters that
+    a cut divides.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     body = F.coalesce(F.col(text), F.lit(""))
@@ -198,6 +199,9 @@ def remove_repeats(
                     if runs is not None and len(runs):
                         p, _ = starts_of(*(np.array([r[c] for r in runs], dtype=np.int64) for c in ("core", "mask")))
                         gone = cover(n, p, p)
+                        if characters:
+                            of = np.cumsum(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80) - 1
+                            gone = (np.bincount(of, gone) > 0)[of]
                     else:
                         gone = np.zeros(n, bool)
                     kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()

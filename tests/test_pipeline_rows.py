@@ -20,3 +20,11 @@ def test_repeated_and_null_ids(spark):
     cut = {(r.doc_id, r.text) for r in corpus_pipeline.drop_repeats(spark, left, "").collect()}
     assert len(cut) == len(texts)
     assert not any(p[:400] in t for _, t in cut)
+
+
+def test_replacement_characters_stay(spark):
+    p = "�" + words(8, 80)
+    rows = [(1, "x�y " + words(9, 20) + "é" + p), (2, words(10, 20) + "ũ" + p), (3, "� alone")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    # these two letters end in the same byte, which the repeated string takes along
+    assert got == {1: "x�y " + words(9, 20), 2: words(10, 20), 3: "� alone"}
