@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,17 @@ from pyspark.sql import DataFrame, types as T
 PIECE_BYTES = 4_000_000
 
 
+def release() -> None:
+    """Give memory of ended work back to the system, as Python workers outlive their tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(column: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, list]]:
     """(offset, values) slices of a string or binary column of about PIECE_BYTES each."""
     at, n = 0, len(column)
@@ -39,20 +51,25 @@ def map_column(
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(carry)], df[column].alias("v"))
+    # a carried column that is also read goes to Python once
+    width = len(carry)
+    place = carry.index(column) if column in carry else width
+    source = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(carry)], *([df[column].alias("v")] if place == width else []))
     schema = T.StructType(
         [T.StructField(c, df.schema[c].dataType) for c in carry] + [T.StructField(f.name, f.dataType) for f in new]
     )
-    width = len(carry)
     arrow = to_arrow_schema(T.StructType(list(new)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            values = batch.column(width)
+            values = batch.column(place)
             for at, part in pieces(values):
                 kept = [batch.column(i).slice(at, len(part)) for i in range(width)]
                 made = [a.cast(f.type) if a.type != f.type else a for a, f in zip(compute(part), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(kept + made, names=schema.names)
+            del batch, values
+        del compute
+        release()
 
     return source.mapInArrow(run, schema)
