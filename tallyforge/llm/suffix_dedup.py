@@ -1,105 +1,156 @@
-"""Removal of repeated byte strings by prefix doubling over position rank pairs.
-
-Ranks of the strings of 2, 4, ... 256 bytes at every position are doubled inside a document as
-64-bit fingerprints. Positions that can't repeat are dropped before Spark sorts any: all strings of
-400 bytes that are equal contain the same 64-byte string of lowest fingerprint at the same offset,
-so a position whose lowest 64-byte string is unique in the corpus is unique itself. The positions
-that are left form blocks of up to 32 starts, cut at fixed distances from that lowest string, so
-that equal strings fall into equal blocks. A block is ranked by two pairs: the 369 bytes that all of
-its strings share, which if unique end the block, and the 431 bytes that they span, which if
-repeated settle it. Only starts of blocks that are neither, the ends of repeated passages, and one
-copy of each settled block that may hold the same strings, are ranked one by one by the pair (rank of 256 bytes here, rank of 256 bytes at offset 144), which covers 400
-bytes; pairs met more than once are past the threshold.
+"""Removal of repeated byte strings by distributed prefix doubling over position rank pairs.
+
+Spark ranks positions at growing lengths and drops those that are unique at each:
+
+1. 64 bytes. Of every 400-byte string only the position of its lowest 64-byte string counts (its
+   anchor): equal strings have equal anchors at equal distances, so strings whose anchor is unique
+   are unique. The starts that share an anchor form blocks of ``SIZES[0]``, cut at fixed distances
+   from it, so that equal strings fall into equal blocks.
+2. The pair (rank of 256 bytes, rank of 256 bytes at an offset) over the 289 bytes that all strings
+   of a block share. Blocks that are unique there are dropped. The pair over the 511 bytes that a
+   block spans is past the threshold: where it repeats, all strings of the block repeat.
+3. Blocks that are neither are cut into blocks of ``SIZES[1]``, whose pairs cover 387 and 413 bytes.
+4. What is left is ranked start by start by the pair that covers 400 bytes.
+
+One copy of each repeated block goes on as a witness while blocks that share its inner bytes are
+still open. Ranks of up to 256 bytes are doubled inside a document (2, 4, ... 256 bytes) as 64-bit
+fingerprints. Equal pairs of fingerprints are taken for equal strings: two given unlike strings
+agree with a probability of about 2e-38.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tallyforge.llm.arrowtext import release
 from tallyforge.llm.scratch import Scratch
 
-LENGTH, ANCHOR, HALF, BLOCK = 400, 64, 256, 32
+LENGTH, ANCHOR, HALF = 400, 64, 256
+#: Starts a block in each round. Each size divides the one before.
+SIZES = (112, 14, 1)
+#: Positions that are hashed at once, whatever the length of a text.
+CHUNK = 1 << 16
+WINDOW = LENGTH - ANCHOR + 1
 
 
-def doubled(data: bytes, length: int) -> np.ndarray:
+def doubled(data: np.ndarray, length: int) -> np.ndarray:
     """Fingerprints of the ``length`` (a power of two) bytes at every position."""
-    row = np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)
+    row = data.astype(np.uint64) + np.uint64(1)
     row *= np.uint64(0xD6E8FEB86659FD93)
     row ^= row >> np.uint64(29)
     span = 1
     while span < length:
-        row = row[:-span] * np.uint64(0x9E3779B97F4A7C15) ^ (row[span:] + (row[span:] << np.uint64(7)))
+        row = row[:-span] * np.uint64(0x9E3779B97F4A7C15) + row[span:]
         row ^= row >> np.uint64(31)
         row *= np.uint64(0x94D049BB133111EB)
         span *= 2
     return row
 
 
-def lowest(data: bytes) -> np.ndarray:
-    """For every 400-byte string of ``data``, the lowest fingerprint of a 64-byte string inside it."""
-    row, width, span = doubled(data, ANCHOR), LENGTH - ANCHOR + 1, 1
-    n = len(row) - width + 1
+def ranks(data: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """The rank of 256 bytes at each of the sorted ``positions``."""
+    if len(data) <= 2 * CHUNK:
+        return doubled(data, HALF)[positions]
+    out = np.empty(len(positions), dtype=np.uint64)
+    for at in range(0, len(data) - HALF + 1, CHUNK):
+        a, b = np.searchsorted(positions, [at, at + CHUNK])
+        if b > a:
+            out[a:b] = doubled(data[at : at + CHUNK + HALF - 1], HALF)[positions[a:b] - at]
+    return out
+
+
+class Anchors:
+    """Anchors of whole texts, by a rolling hash: unlike strings that agree only make more candidates."""
+
+    def __init__(self):
+        n, base = CHUNK + LENGTH, 0x9E3779B97F4A7C15
+        self.up, self.down = (np.cumprod(np.append(np.uint64(1), np.full(n, b, dtype=np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
+        self.byte = doubled(np.arange(256, dtype=np.uint8), 1)
+
+    def hashes(self, data: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self.byte[data] * self.up[: len(data)], out=total[1:])
+        row = total[ANCHOR:] - total[:-ANCHOR]
+        row *= self.down[: len(row)]
+        row ^= row >> np.uint64(32)
+        row *= np.uint64(0xD6E8FEB86659FD93)
+        row ^= row >> np.uint64(29)
+        return row
+
+    def part(self, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        row = self.hashes(data)
+        low = _slide(np.minimum, row, WINDOW)
+        edge = np.zeros(WINDOW - 1, dtype=np.uint64)
+        places = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, low, edge]), WINDOW) == row)
+        # runs of windows with one lowest value, and the places in each that hold it
+        a = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        b = np.append(a[1:], len(low)) - 1
+        values, rank = np.unique(row[places], return_inverse=True)
+        wide = np.int64(1) << np.int64(40)
+        code = np.sort(rank * wide + places)
+        base = np.searchsorted(values, low[a]) * wide
+        first, last = np.searchsorted(code, base + a), np.searchsorted(code, base + b)
+        last = np.where((last < len(code)) & (code[np.minimum(last, len(code) - 1)] <= base + b + WINDOW - 1), last, last - 1)
+        count = last - first + 1
+        of = np.repeat(np.arange(len(a)), count)
+        step = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        q = code[first[of] + step] % wide
+        lo = np.where(step == 0, a[of], np.append(0, q[:-1]) + 1)
+        return q, lo, np.minimum(q, b[of]), row[q]
+
+    def of(self, data: np.ndarray) -> list[np.ndarray]:
+        """Anchor places, the first and last start that each is the anchor of, and 64-byte ranks."""
+        windows, parts = len(data) - LENGTH + 1, []
+        for at in range(0, windows, CHUNK):
+            q, lo, hi, a = self.part(data[at : min(at + CHUNK, windows) + LENGTH - 1])
+            parts.append((q + at, lo + at, hi + at, a))
+        return [np.concatenate(p) for p in zip(*parts, strict=True)]
+
+
+def _slide(function, row: np.ndarray, width: int) -> np.ndarray:
+    n, span = len(row) - width + 1, 1
     while span * 2 <= width:
-        row = np.minimum(row[:-span], row[span:])
+        row = function(row[:-span], row[span:])
         span *= 2
-    return np.minimum(row[:n], row[width - span : width - span + n])
+    return function(row[:n], row[width - span : width - span + n])
 
 
-def lowest_at(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """``lowest`` and where its first place in each 400-byte string is."""
-    row, width, span = doubled(data, ANCHOR), LENGTH - ANCHOR + 1, 1
-    n = len(row) - width + 1
-    at = np.arange(len(row), dtype=np.int32)
-    while span * 2 <= width:
-        a, b = at[:-span], at[span:]
-        at = np.where(row[a] <= row[b], a, b)
-        span *= 2
-    a, b = at[:n], at[width - span : width - span + n]
-    at = np.where(row[a] <= row[b], a, b)
-    return row[at], at
-
-
-def pairs(row: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pair of 256-byte ranks that covers ``length`` bytes at each start."""
-    return row[starts].view(np.int64), row[starts + (length - HALF)].view(np.int64)
+def cut_blocks(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, known: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """Blocks of ``size`` starts at fixed distances before ``q``, cut from the starts ``lo`` to ``hi``.
 
-
-def blocks(data: bytes, again: np.ndarray) -> dict[str, np.ndarray]:
-    """Blocks of starts whose lowest 64-byte string is one of ``again``.
-
-    A block is the 32 starts up to ``core``, once a text however often the lowest string changes
-    inside it; bit j of ``mask`` says whether the start ``core`` - j is one of it. ``s0`` and ``s1``
-    stand for the bytes that all strings of the block share, ``f0`` and ``f1`` for those that a whole
-    block spans; ``f`` is false where the text ends sooner.
+    A block is named by its last start. Each is returned once a text, however often it is met, with
+    the hull of its starts, and as known to repeat if any of what it was cut from is.
     """
-    low, at = lowest_at(data)
-    p = np.flatnonzero(np.isin(low.view(np.int64), again))
-    q = at[p].astype(np.int64)
-    k = (q - p) // BLOCK
-    new = np.append(True, (np.diff(p) != 1) | (np.diff(q) != 0) | (np.diff(k) != 0))[: len(p)]
-    head = np.flatnonzero(new)
-    count = np.diff(np.append(head, len(p)))
-    row = doubled(data, HALF)
-    # runs of starts with several lowest strings can lie in one block
-    core, of = np.unique(q[head] - k[head] * BLOCK, return_inverse=True)
-    last = p[head] + count - 1
-    mask = np.zeros(len(core), dtype=np.int64)
-    np.bitwise_or.at(mask, of, ((1 << count) - 1) << (core[of] - last))
-    wide = core - (BLOCK - 1)
+    low, high = (q - hi) // size, (q - lo) // size
+    of = np.repeat(np.arange(len(q)), high - low + 1)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[of]
+    core = q[of] - k * size
+    a, b, w = np.maximum(lo[of], core - size + 1), np.minimum(hi[of], core), known[of]
+    order = np.argsort(core, kind="stable")
+    core = core[order]
+    head = np.flatnonzero(np.append(True, core[1:] != core[:-1])[: len(core)])
+    if not len(head):
+        return core, core, core, known[:0]
+    return core[head], np.minimum.reduceat(a[order], head), np.maximum.reduceat(b[order], head), np.logical_or.reduceat(w[order], head)
+
+
+def block_pairs(data: np.ndarray, core: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The rank pairs of the bytes shared by a block's strings and of those it spans; the mask of whole blocks."""
+    wide = core - size + 1
     whole = (wide >= 0) & (core + LENGTH <= len(data))
-    s0, s1 = pairs(row, core, LENGTH - BLOCK + 1)
-    f0, f1 = pairs(row, np.where(whole, wide, 0), LENGTH + BLOCK - 1 if whole.any() else HALF)
-    return {"core": core.astype(np.int32), "mask": mask.astype(np.uint32).view(np.int32), "s0": s0, "s1": s1, "f": whole, "f0": f0, "f1": f1}
-
-
-def starts_of(core: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The starts of blocks, and which block each is of."""
-    of, bit = np.nonzero(mask.astype(np.int64)[:, None] >> np.arange(BLOCK) & 1)
-    return core[of] - bit, of
+    inner, outer = LENGTH - size + 1 - HALF, LENGTH + size - 1 - HALF
+    wanted = [core, core + inner, *((wide[whole], wide[whole] + outer) if size > 1 else ())]
+    places, back = np.unique(np.concatenate(wanted), return_inverse=True)
+    found = np.split(ranks(data, places).view(np.int64)[back], np.cumsum([len(x) for x in wanted])[:-1])
+    f0, f1 = np.zeros(len(core), np.int64), np.zeros(len(core), np.int64)
+    if size > 1:
+        f0[whole], f1[whole] = found[2:]
+    return found[0], found[1], f0, f1, whole
 
 
 def cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -110,107 +161,151 @@ def cover(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """Every row of batches whose column ``text`` is binary, with its bytes."""
+    for batch in batches:
+        texts = batch.column("text")
+        for i in range(len(batch)):
+            value = texts[i]
+            yield batch, i, np.frombuffer(value.as_buffer(), dtype=np.uint8) if value.is_valid and len(value.as_buffer()) else np.zeros(0, np.uint8)
+
+
+def _struct(value, names: tuple[str, ...]) -> list[np.ndarray]:
+    """Fields of a list of structs as arrays."""
+    inner = value.values
+    return [inner.field(inner.type.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    at = np.cumsum([0, *(len(p) for p in parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*parts, parts[0][:0]])).cast(kind))
+
+
+def _grouped(stream: Iterator, most: int = 200) -> Iterator[list]:
+    group = []
+    for x in stream:
+        group.append(x)
+        if len(group) == most:
+            yield group
+            group = []
+    if group:
+        yield group
+
+
+def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make = Anchors()
+    for group in _grouped((b.column("id")[i].as_py(), b.column("w")[i].as_py(), make.of(data)) for b, i, data in _rows(batches)):
+        ids, known, made = zip(*group, strict=True)
+        columns = [_lists([m[k] for m in made], pa.int32()) for k in range(3)] + [_lists([m[3].view(np.int64) for m in made], pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(known, pa.bool_()), *columns], names=["id", "w", "q", "lo", "hi", "a"])
+    release()
+
+
+def block_rows(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(batch, i, data):
+            q, lo, hi, w = _struct(batch.column("runs")[i], ("q", "lo", "hi", "w"))
+            core, lo, hi, w = cut_blocks(*(x.astype(np.int64) for x in (q, lo, hi)), w.astype(bool), size)
+            return batch.column("id")[i].as_py(), core, lo, hi, w, *block_pairs(data, core, size)
+
+        for group in _grouped((one(*row) for row in _rows(batches)), 50):
+            ids, *made = zip(*group, strict=True)
+            core, lo, hi, w, s0, s1, f0, f1, whole = (np.concatenate(x) for x in made)
+            names = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) for x in made[0]])
+            key = pa.array(ids, pa.binary()).take(pa.array(names))
+            yield pa.RecordBatch.from_arrays(
+                [key, *(pa.array(x, pa.int32()) for x in (core, lo, hi)), pa.array(w), pa.array(s0), pa.array(s1), pa.array(f0, mask=~whole), pa.array(f1, mask=~whole)],
+                names=["id", "core", "lo", "hi", "w", "s0", "s1", "f0", "f1"],
+            )
+        release()
+
+    return run
+
+
+def _weight():
+    return F.sum(F.when(F.col("w"), 2).otherwise(1))
+
+
 def remove_repeats(
     docs: DataFrame, text: str = "text", digest: bool = False, changed_only: bool = False, characters: bool = False
 ) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, and the bytes ``kept`` of each row's text.
 
     A null text is empty. Texts shorter than 400 bytes stay whole. Rows with equal texts, repeated
-    rows included, are handled once and count as often as they occur. Matches never cross rows.
-    ``digest`` gives the lowercase SHA-256 ``kept_sha256`` in place of the bytes. ``changed_only``
-    leaves out rows that lose nothing. ``characters`` also removes the other bytes of characters that
-    a cut divides.
+    rows included, are handled once and count as often as they occur; if such a text has 400 bytes,
+    all of it goes. Matches never cross rows. Other columns of ``docs``, whatever their names, are
+    not looked at. ``digest`` gives the lowercase SHA-256 ``kept_sha256`` in place of the bytes.
+    ``changed_only`` leaves out rows that lose nothing. ``characters`` also removes the other bytes
+    of characters that a cut divides.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.unhex(F.substring(F.sha2(body, 256), 1, 32))
     # texts are dealt by key once and written in buckets; all later joins with them stay in place
     rows = scratch.keep(docs.select("doc_id", key.alias("id")))
-    texts = docs.select(key.alias("id"), body.alias("text")).groupBy("id").agg(F.count("*").alias("m"), F.first("text").alias("text"))
+    texts = docs.select(key.alias("id"), body.cast("binary").alias("text")).groupBy("id").agg((F.count("*") > 1).alias("w"), F.first("text").alias("text"))
     texts = scratch.keep_bucketed(texts, "id")
     long = texts.where(F.octet_length("text") >= LENGTH)
 
-    def anchors(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
-                out = []
-                for key, m, t in zip(part["id"], part["m"], part["text"], strict=True):
-                    low = lowest(t.encode())
-                    a = np.unique(low)
-                    # a lowest string met at several places of one text
-                    every = doubled(t.encode(), ANCHOR)
-                    every.sort()
-                    n = np.searchsorted(every, a, "right") - np.searchsorted(every, a, "left")
-                    out.append(pd.DataFrame({"id": [key] * len(a), "a": a.view(np.int64), "w": n * m}))
-                if out:
-                    yield pd.concat(out)
-
-    found = scratch.keep(long.mapInPandas(anchors, "id binary, a long, w long"))
-    again = found.groupBy("a").agg(F.sum("w").alias("n")).where("n > 1").select("a")
-    hits = found.join(again, "a").groupBy("id").agg(F.collect_list("a").alias("again"))
-
-    def block_rows(batches):
-        for pdf in batches:
-            for key, m, t, again in zip(pdf["id"], pdf["m"], pdf["text"], pdf["again"], strict=True):
-                made = pd.DataFrame(blocks(t.encode(), np.asarray(again, dtype=np.int64)))
-                made.insert(0, "id", [key] * len(made))
-                made.insert(1, "m", m)
-                yield made
-
-    form = "id binary, m long, core int, mask int, s0 long, s1 long, f boolean, f0 long, f1 long"
-    ranked = scratch.keep(long.join(hits.hint("shuffle_hash"), "id").mapInPandas(block_rows, form))
-    scratch.drop(found)
-    shared = ranked.groupBy("s0", "s1").agg(F.sum("m").alias("n")).where("n > 1").select("s0", "s1")
-    spanned = ranked.where("f").groupBy("f0", "f1").agg(F.sum("m").alias("n")).where("n > 1").select("f0", "f1", F.lit(True).alias("settled"))
-    left = ranked.join(shared, ["s0", "s1"]).withColumn("f0", F.when(F.col("f"), F.col("f0")))
-    state = left.join(spanned, ["f0", "f1"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    state = scratch.keep(state.select("id", "m", "core", "mask", "s0", "s1", "f0", "f1", "settled"))
-    scratch.drop(ranked)
-    # strings of an open block may also be in a settled one, of which one copy stands for all
-    unsettled = state.where("not settled")
-    copy = state.where("settled").groupBy("f0", "f1").agg(F.min(F.struct("id", "core", "mask", "s0", "s1")).alias("x")).select("x.*")
-    copy = copy.join(unsettled.select("s0", "s1").distinct(), ["s0", "s1"], "left_semi")
-    listed = unsettled.select("id", "core", "mask", "m").unionByName(copy.select("id", "core", "mask", F.lit(2).cast("long").alias("m")))
-    open_rows = listed.groupBy("id").agg(F.collect_list(F.struct("core", "mask", "m")).alias("runs"))
-
-    def positions(batches):
-        for pdf in batches:
-            for key, t, runs in zip(pdf["id"], pdf["text"], pdf["runs"], strict=True):
-                data = t.encode()
-                p, of = starts_of(*(np.array([r[c] for r in runs], dtype=np.int64) for c in ("core", "mask")))
-                a, b = pairs(doubled(data, HALF), p, LENGTH)
-                m = np.array([r["m"] for r in runs])[of]
-                yield pd.DataFrame({"id": [key] * len(p), "m": m, "p": p.astype(np.int32), "a": a, "b": b})
-
-    single = scratch.keep(long.select("id", "text").join(open_rows.hint("shuffle_hash"), "id").mapInPandas(positions, "id binary, m long, p int, a long, b long"))
-    repeated = single.groupBy("a", "b").agg(F.sum("m").alias("n")).where("n > 1").select("a", "b")
-    met = single.join(repeated, ["a", "b"]).select("id", F.col("p").alias("core"), F.lit(1).alias("mask")).unionByName(state.where("settled").select("id", "core", "mask"))
-    starts = met.groupBy("id").agg(F.collect_list(F.struct("core", "mask")).alias("runs"))
+    found = scratch.keep(long.mapInArrow(anchor_rows, "id binary, w boolean, q array<int>, lo array<int>, hi array<int>, a array<bigint>"))
+    again = found.select("w", F.explode("a").alias("a")).groupBy("a").agg(_weight().alias("n"), F.bool_and("w").alias("closed")).where("n > 1 and not closed").select("a")
+    anchors = found.select("id", "w", F.explode(F.arrays_zip("q", "lo", "hi", "a")).alias("x")).select("id", "w", "x.*")
+    left = anchors.join(again, "a").select("id", "q", "lo", "hi", "w")
+
+    settled = []
+    for size in SIZES:
+        runs = left.groupBy("id").agg(F.collect_list(F.struct("q", "lo", "hi", "w")).alias("runs"))
+        made = long.select("id", "text").join(runs.hint("shuffle_hash"), "id")
+        ranked = scratch.keep(made.mapInArrow(block_rows(size), "id binary, core int, lo int, hi int, w boolean, s0 bigint, s1 bigint, f0 bigint, f1 bigint"))
+        shared = ranked.groupBy("s0", "s1").agg(_weight().alias("n"), F.bool_and("w").alias("closed")).where("n > 1 and not closed").select("s0", "s1")
+        inner = ranked.join(shared, ["s0", "s1"])
+        if size == 1:
+            settled.append(inner.where("not w").select("id", F.col("core").alias("first"), F.col("core").alias("last")))
+            break
+        spanned = ranked.where("f0 is not null").groupBy("f0", "f1").agg(_weight().alias("n")).where("n > 1").select("f0", "f1", F.lit(True).alias("past"))
+        state = inner.join(spanned, ["f0", "f1"], "left").withColumn("past", F.coalesce("past", F.lit(False)))
+        state = scratch.keep(state.select("id", "core", "lo", "hi", "w", "s0", "s1", "f0", "f1", (F.col("past") | F.col("w")).alias("past")))
+        scratch.drop(ranked)
+        settled.append(state.where("past and not w").select("id", (F.col("core") - (size - 1)).alias("first"), F.col("core").alias("last")))
+        unsettled = state.where("not past")
+        # a known block that isn't whole stands for itself
+        own = F.when(F.col("f0").isNull(), F.concat_ws(":", F.hex("id"), "core"))
+        copy = state.where("past").groupBy("f0", "f1", own.alias("own")).agg(F.min(F.struct("id", "core", "lo", "hi", "s0", "s1")).alias("x")).select("x.*")
+        copy = copy.join(unsettled.select("s0", "s1").distinct(), ["s0", "s1"], "left_semi")
+        left = unsettled.select("id", F.col("core").alias("q"), "lo", "hi", "w").unionByName(copy.select("id", F.col("core").alias("q"), "lo", "hi", F.lit(True).alias("w")))
+    starts = settled[0]
+    for more in settled[1:]:
+        starts = starts.unionByName(more)
+    starts = starts.groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+
+    last = "kept_sha256" if digest else "kept"
 
     def cut(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                out = []
-                part = pdf.iloc[at : at + 200]
-                for key, t, runs in zip(part["id"], part["text"], part["runs"], strict=True):
-                    data = t.encode()
-                    n = len(data)
-                    if runs is not None and len(runs):
-                        p, _ = starts_of(*(np.array([r[c] for r in runs], dtype=np.int64) for c in ("core", "mask")))
-                        gone = cover(n, p, p)
-                        if characters:
-                            of = np.cumsum(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80) - 1
-                            gone = (np.bincount(of, gone) > 0)[of]
-                    else:
-                        gone = np.zeros(n, bool)
-                    kept = np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()
-                    spans = int((gone & ~np.append(False, gone[:-1])[:n]).sum())
-                    out.append((key, n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept))
-                yield pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", last])
+        def one(batch, i, data):
+            n, runs = len(data), batch.column("runs")[i]
+            if n >= LENGTH and batch.column("w")[i].as_py():
+                gone = np.ones(n, bool)
+            elif runs.is_valid:
+                gone = cover(n, *(x.astype(np.int64) for x in _struct(runs, ("first", "last"))))
+                if characters:
+                    of = np.cumsum(data & 0xC0 != 0x80) - 1
+                    gone = (np.bincount(of, gone) > 0)[of]
+            else:
+                gone = np.zeros(n, bool)
+            kept = data[~gone].tobytes()
+            spans = int((gone & ~np.append(False, gone[:-1])[:n]).sum())
+            return batch.column("id")[i].as_py(), n, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest() if digest else kept
+
+        for group in _grouped(one(*row) for row in _rows(batches)):
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string() if digest else pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*group, strict=True), kinds, strict=True)], names=["id", "n_bytes", "n_removed", "n_spans", last])
+        release()
 
-    last = "kept_sha256" if digest else "kept"
     form = f"id binary, n_bytes long, n_removed long, n_spans long, {last} {'string' if digest else 'binary'}"
-    how = "inner" if changed_only else "left"
-    done = texts.select("id", "text").join(starts.hint("shuffle_hash"), "id", how).mapInPandas(cut, form)
+    wanted = texts.select("id", "w", "text").join(starts.hint("shuffle_hash"), "id", "left")
+    if changed_only:
+        wanted = wanted.where(F.col("runs").isNotNull() | F.col("w"))
+    done = wanted.mapInArrow(cut, form)
+    if changed_only:
+        done = done.where("n_removed > 0")
     return rows.join(done, "id").drop("id")
