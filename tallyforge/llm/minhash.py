@@ -7,11 +7,14 @@
    probability of 1.3e-7.
 3. In every bucket all members are compared with the smallest one. Pairs whose signatures agree
    enough are confirmed on the full sets, and links give components.
-4. That leaves pairs of a bucket whose members are in different components. Where a bucket has
-   such pairs, every member outside the bucket's largest component is compared with all members of
-   other components, unless sizes or sketches of one bit a minimum rule a link out. After that no pair of any bucket that
-   could change the components is left, so the result is that of comparing all pairs of all
-   buckets, while a bucket full of copies costs one comparison a member.
+4. That leaves pairs of a bucket whose members are in different components. Documents of such
+   buckets are open. Their shingles are put in one order, rarest first; by the prefix filter, two
+   sets at the threshold share one of each one's first n - ceil(0.8 n) + 1 shingles. Open documents
+   of different components that share such a shingle are compared, unless sizes or sketches of one
+   bit a minimum rule a link out. A near copy that is too far from its group begins with shingles
+   of its own, so that few pairs are left. After that no pair of any bucket that could change the
+   components is left, so the result is that of comparing all pairs of all buckets, while a bucket
+   full of copies costs one comparison a member.
 """
 
 from __future__ import annotations
@@ -180,7 +183,7 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch, sets: DataFrame | None = None) -> DataFrame:
     """Those of ``pairs`` (a, b) that are linked: first signatures are compared, then full sets.
 
     Both joins are plain equi joins, in which Spark splits the rows of an id that is in very many
@@ -198,11 +201,8 @@ def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, sc
     right = marks.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
     pairs = pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b")
     pairs = scratch.keep(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # an id may stand for several sets; a pair is linked if any two of them are
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), s)
-    sets = sets.join(marks.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
-    sets = scratch.keep(sets.dropDuplicates(["doc_id", "set_a"]).select("doc_id", "shingles"))
+    if sets is None:
+        sets = wanted_sets(pairs, marks, docs, s, scratch)
 
     @pandas_udf("boolean")
     def linked(x, y):
@@ -220,6 +220,38 @@ def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, sc
     return scratch.keep(pairs.join(left, "a").join(right, "b").where(linked("xa", "xb")).select("a", "b").distinct())
 
 
+def wanted_sets(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """doc_id and packed shingles of the documents that ``pairs`` name."""
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    # an id may stand for several sets; a pair is linked if any two of them are
+    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), s)
+    sets = sets.join(marks.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
+    return scratch.keep(sets.dropDuplicates(["doc_id", "set_a"]).select("doc_id", "set_a", "shingles"))
+
+
+def prefixes(sets: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, set_a, n, and the place and value of each shingle of the prefix that another document has too.
+
+    Shingles are ordered by the number of documents that have them, then by value. Those of one
+    document only come first in every prefix and need not be listed.
+    """
+
+    def unpack(batches):
+        for batch in batches:
+            packed = batch.column(2).to_pylist()
+            at = np.cumsum([0, *(len(v) // 8 for v in packed)]).astype(np.int32)
+            values = np.frombuffer(b"".join(packed), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.ListArray.from_arrays(pa.array(at), pa.array(values))], names=["doc_id", "set_a", "listed"])
+
+    listed = sets.select("doc_id", "set_a", "shingles").mapInArrow(unpack, "doc_id bigint, set_a bigint, listed array<bigint>")
+    rows = listed.select("doc_id", "set_a", F.size("listed").alias("n"), F.explode("listed").alias("shingle"))
+    often = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    own = rows.join(often, "shingle").groupBy("doc_id", "set_a", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("ranked"))
+    long = F.col("n") - F.ceil(F.col("n") * s.percent / 100) + 1 - (F.col("n") - F.size("ranked"))
+    first = F.col("n") - F.size("ranked") + 1
+    return own.where(long > 0).select("doc_id", "set_a", "n", first.alias("first"), F.posexplode(F.slice("ranked", F.lit(1), long.cast("int")))).select("doc_id", "set_a", "n", (F.col("first") + F.col("pos")).alias("place"), "col.shingle")
+
+
 def shingle_sets(df: DataFrame, s: Settings) -> DataFrame:
     """doc_id, hash halves, and the packed sorted shingle numbers of each document."""
     from tallyforge.llm.arrowtext import map_column
@@ -245,8 +277,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of ``docs``.
 
     Texts that are null, empty or blank have no shingles and are linked with nothing. Rows with a
-    null id are returned with a null component and kept. Rows that repeat an id and a text agree in
-    all columns; if only the id is repeated, each row follows the links of its own text.
+    null id are returned with a null component and kept. Other columns of ``docs``, whatever their
+    names, are not looked at. Rows that repeat an id and a text agree in all columns; if only the id is repeated, each row follows the links of its own text.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     docs = docs.select("doc_id", "text")
@@ -270,18 +302,27 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select("bucket", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = labelled.join(mixed, "bucket", "left_semi").join(chosen.select("doc_id", *SKETCH), "doc_id")
-    open_rows = scratch.keep(open_rows)
-    largest = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-    largest = largest.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top")).select("bucket", F.col("top.component").alias("top"))
-    sided = open_rows.join(largest, "bucket")
-    small = sided.where("component <> top").select("bucket", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), *sketch_as("x"))
-    other = sided.select("bucket", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("top"), *sketch_as("y"))
+    opened = scratch.keep(labelled.join(mixed, "bucket", "left_semi").select("doc_id", "component").distinct())
+    scratch.drop(shared)
+    named_twice = opened.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    sets = wanted_sets(named_twice, chosen, docs, s, scratch)
+    met = prefixes(sets, s).join(opened, "doc_id").join(chosen.select("doc_id", "set_a", *SKETCH), ["doc_id", "set_a"])
+    mixed = met.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    met = scratch.keep(met.join(mixed, "shingle", "left_semi"))
+    largest = met.groupBy("shingle", "component").agg(F.count("*").alias("size"))
+    largest = largest.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top")).select("shingle", F.col("top.component").alias("top"))
+    sided = met.join(largest, "shingle")
+    small = sided.where("component <> top").select("shingle", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("component").alias("cx"), *sketch_as("x"))
+    other = sided.select("shingle", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("component").alias("cy"), "top", *sketch_as("y"))
+    # all that two sets share stands, in each, from the first shared shingle on
+    most = 1 + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    enough = (100 + s.percent) * most >= s.percent * (F.col("nx") + F.col("ny"))
     # both members outside the largest component meet twice; the smaller id leads
-    rest = small.join(other, "bucket").where("cx <> cy and (cy = top or x < y)").where(fits("nx", "ny") & fits("ny", "nx") & near_sketch("x", "y", s))
+    rest = small.join(other, (small["shingle"] == other["shingle"]) & F.expr("cx <> cy and (cy = top or x < y)") & fits("nx", "ny") & fits("ny", "nx") & enough & near_sketch("x", "y", s))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
-    more = confirm(scratch.keep(rest), chosen, docs, s, scratch)
+    more = confirm(scratch.keep(rest.join(first, ["a", "b"], "left_anti")), chosen, docs, s, scratch, sets)
+    scratch.drop(met)
+    scratch.drop(sets)
     found = scratch.keep(connected_components(links.unionByName(more), scratch))
 
     named = classes.select("set_a", "set_b", F.col("doc_id").alias("class_id"))
