@@ -183,11 +183,11 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch, sets: DataFrame | None = None) -> DataFrame:
+def confirm(pairs: DataFrame, marks: DataFrame, sets: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) that are linked: first signatures are compared, then full sets.
 
     Both joins are plain equi joins, in which Spark splits the rows of an id that is in very many
-    pairs. Texts are read again only for the documents that are in a pair that is left.
+    pairs.
     """
     from pyspark.sql.functions import pandas_udf
 
@@ -201,9 +201,6 @@ def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, sc
     right = marks.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
     pairs = pairs.join(left, "a").join(right, "b").where(alike("sa", "sb")).select("a", "b")
     pairs = scratch.keep(pairs)
-    if sets is None:
-        sets = wanted_sets(pairs, marks, docs, s, scratch)
-
     @pandas_udf("boolean")
     def linked(x, y):
         import pandas as pd
@@ -220,11 +217,34 @@ def confirm(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, sc
     return scratch.keep(pairs.join(left, "a").join(right, "b").where(linked("xa", "xb")).select("a", "b").distinct())
 
 
-def wanted_sets(pairs: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
-    """doc_id and packed shingles of the documents that ``pairs`` name."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+#: Bits of the filter that is sent to all tasks, at every size of the input: 1 MB.
+FILTER_BITS = 1 << 23
+
+
+def perhaps(ids: DataFrame):
+    """Condition on ``doc_id`` that holds for all of ``ids`` and for few others while those are few.
+
+    It only spares texts a shuffle; more ids than bits make it hold for all documents.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    words = ids.select(spot.alias("spot")).groupBy((F.col("spot") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
+    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for word, bits in words.collect():  # at most FILTER_BITS / 64 rows
+        table[word] = bits
+
+    @pandas_udf("boolean")
+    def met(spot):
+        return (table[spot.to_numpy() // 64] >> (spot.to_numpy() % 64) & 1 == 1) | spot.isna()
+
+    return met(spot)
+
+
+def wanted_sets(wanted: DataFrame, marks: DataFrame, docs: DataFrame, s: Settings, scratch: Scratch) -> DataFrame:
+    """doc_id, set_a and packed shingles of the documents ``wanted``, whose texts are read again."""
     # an id may stand for several sets; a pair is linked if any two of them are
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), s)
+    sets = shingle_sets(docs.where(perhaps(wanted)).join(wanted, "doc_id", "left_semi"), s)
     sets = sets.join(marks.select("doc_id", "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
     return scratch.keep(sets.dropDuplicates(["doc_id", "set_a"]).select("doc_id", "set_a", "shingles"))
 
@@ -296,7 +316,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     first = shared.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     first = first.join(centres, "a").join(members, "b").where(fits("na", "nb") & fits("nb", "na") & near_sketch("a", "b", s))
     first = scratch.keep(first.select("a", "b").distinct())
-    links = confirm(first, chosen, docs, s, scratch)
+    sets = wanted_sets(scratch.keep(shared.select("doc_id").distinct()), chosen, docs, s, scratch)
+    links = confirm(first, chosen, sets, s, scratch)
     found = connected_components(links, scratch)
 
     labelled = shared.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -304,9 +325,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     opened = scratch.keep(labelled.join(mixed, "bucket", "left_semi").select("doc_id", "component").distinct())
     scratch.drop(shared)
-    named_twice = opened.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    sets = wanted_sets(named_twice, chosen, docs, s, scratch)
-    met = prefixes(sets, s).join(opened, "doc_id").join(chosen.select("doc_id", "set_a", *SKETCH), ["doc_id", "set_a"])
+    met = prefixes(sets.join(opened, "doc_id", "left_semi"), s).join(opened, "doc_id").join(chosen.select("doc_id", "set_a", *SKETCH), ["doc_id", "set_a"])
     mixed = met.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
     met = scratch.keep(met.join(mixed, "shingle", "left_semi"))
     largest = met.groupBy("shingle", "component").agg(F.count("*").alias("size"))
@@ -320,7 +339,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     # both members outside the largest component meet twice; the smaller id leads
     rest = small.join(other, (small["shingle"] == other["shingle"]) & F.expr("cx <> cy and (cy = top or x < y)") & fits("nx", "ny") & fits("ny", "nx") & enough & near_sketch("x", "y", s))
     rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = confirm(scratch.keep(rest.join(first, ["a", "b"], "left_anti")), chosen, docs, s, scratch, sets)
+    more = confirm(scratch.keep(rest.join(first, ["a", "b"], "left_anti")), chosen, sets, s, scratch)
     scratch.drop(met)
     scratch.drop(sets)
     found = scratch.keep(connected_components(links.unionByName(more), scratch))
