@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.operators import contamination, evaluation, statistics
+from tallyforge.operators import audits, contamination, evaluation, generation, invariants, probes, resampling, scorer, statistics
 
-QUERIES = contamination.QUERIES | statistics.QUERIES | evaluation.QUERIES
-ORACLES = contamination.ORACLES | statistics.ORACLES | evaluation.ORACLES
+_PARTS = (contamination, statistics, evaluation, scorer, audits, resampling, invariants, probes, generation)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}
