@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyforge.operators.contamination import WORDS, _CONTAIN, containment, tokens
-from tallyforge.operators.statistics import shared_query
 
 # Patterns that decide the scores, searched without regard to case.
 CONSENT = [r"\bwould you\b", r"\bare you open\b", r"\bdoes.{0,20}work for you\b", r"\bhappy to schedule\b", r"\blet me know if\b"]
@@ -218,7 +217,6 @@ QUERIES = {
     "tfidf_cosine_top1": tfidf_cosine_top1,
 }
 
-#: Queries whose text both engines read alike.
 _VERDICTS = f"""{_CONTAIN}, b AS (SELECT CAST(item_id AS VARCHAR) AS id, true AS item, {WORDS} AS w FROM benchmark UNION ALL SELECT CAST(doc_id AS VARCHAR), false, {WORDS} FROM documents),
 c AS (SELECT id, item, token, count(*) AS n FROM (SELECT id, item, unnest(w) AS token FROM b) GROUP BY ALL),
 f AS (SELECT token, count(*) AS df FROM c GROUP BY 1), t AS (SELECT count(*) AS total FROM b WHERE len(w) > 0),
@@ -233,7 +231,7 @@ ORACLES |= {
 }
 QUERIES |= {"contamination_verdicts": contamination_verdicts, "contamination_verdict_report": contamination_verdict_report}
 
-SHARED = {
+ORACLES |= {
     "pass_at_1_rollup": """WITH r AS (SELECT conv_id % 5 AS dimension, turn AS trial, CASE WHEN length(text) > 200 THEN 1.0e0 ELSE 0.0e0 END AS ok FROM conversations)
 SELECT dimension, trial, count(*) AS n, round(avg(ok), 4) AS rate FROM r GROUP BY GROUPING SETS ((dimension), (trial), ())""",
     "pointwise_filter": "SELECT count(*) AS total, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS passed, sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS failed, sum(CASE WHEN quality IS NULL THEN 1 ELSE 0 END) AS errors, round(sum(CASE WHEN quality = 1 THEN 1.0e0 ELSE 0.0e0 END) / count(*), 4) AS pass_rate FROM labels",
@@ -250,10 +248,100 @@ SELECT day, round(a, 6) AS base, round(b, 6) AS changed, round(b - a, 6) AS delt
     "kept_runs": "SELECT event_id, user_id FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) x WHERE k <= 50",
     "channel_transitions": """WITH r AS (SELECT event_type AS now, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
 SELECT before, now, count(*) AS n FROM r WHERE before IS NOT NULL GROUP BY before, now""",
-    "dimension_union": """WITH a AS (SELECT lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY lang), b AS (SELECT d.lang, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang)
-SELECT coalesce(a.lang, b.lang) AS lang, a.n AS even_rows, b.n AS labelled FROM a FULL OUTER JOIN b ON a.lang = b.lang""",
-    "dimension_union_whole": """WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), b AS (SELECT d.lang, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang)
+    "dimension_union": """WITH a AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), b AS (SELECT d.lang, count(*) AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang)
 SELECT coalesce(a.lang, b.lang) AS lang, a.n AS all_rows, b.n AS labelled FROM a FULL OUTER JOIN b ON a.lang IS NOT DISTINCT FROM b.lang""",
 }
-QUERIES |= {name: shared_query(text) for name, text in SHARED.items()}
-ORACLES |= SHARED
+
+
+def pass_rates(rows: DataFrame, ok: Column, *axes: str) -> DataFrame:
+    """Rates for each value of each axis, and over all rows."""
+    sets = rows.withColumn("ok", ok.cast("double")).groupingSets([*([F.col(a)] for a in axes), []], *map(F.col, axes))
+    return sets.agg(F.count("*").alias("n"), F.round(F.avg("ok"), 4).alias("rate"))
+
+
+def filter_counts(rows: DataFrame, verdict: Column) -> DataFrame:
+    """total, passed, failed, errors (null verdicts) and pass_rate, in which errors count."""
+    n = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return rows.agg(F.count("*").alias("total"), n(verdict).alias("passed"), n(~verdict).alias("failed"), n(verdict.isNull()).alias("errors"), F.round(n(verdict) / F.count("*"), 4).alias("pass_rate"))
+
+
+def filter_verdict(stated: Column, total: Column, threshold: float = 7) -> Column:
+    """What the judge says, else whether the total reaches ``threshold``; null where neither is known."""
+    return F.coalesce(stated, total >= threshold)
+
+
+def margin_loss(rows: DataFrame, by: str, chosen: str, rejected: str, beta: float = 2.0, gamma: float = 0.5) -> DataFrame:
+    """Mean of -log sigmoid(beta (chosen - rejected) - gamma)."""
+    return rows.groupBy(by).agg(F.round(F.avg(F.log1p(F.exp(-(beta * (F.col(chosen) - F.col(rejected)) - gamma)))), 6).alias("loss"))
+
+
+def synthetic_scores(kind: Column, number: Column, base: dict[str, float], other: float = 0.6) -> Column:
+    start = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), kind), F.lit(other))
+    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), start + ((7 * number + 3) % 11 - 5) * 0.01)), 3)
+
+
+def transitions(rows: DataFrame, entity: str, state: str, *order: str) -> DataFrame:
+    """How often each state follows each other one of the same entity."""
+    before = F.lag(state).over(Window.partitionBy(entity).orderBy(*order))
+    return rows.select(F.col(state).alias("now"), before.alias("before")).where("before is not null").groupBy("before", "now").agg(F.count("*").alias("n"))
+
+
+def last_runs(rows: DataFrame, by: str, n: int, *newest: str) -> DataFrame:
+    """The newest ``n`` rows of each group."""
+    return rows.withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy(*map(F.desc, newest)))).where(F.col("k") <= n).drop("k")
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def paired_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda kind: F.sum(F.when(F.col("event_type") == kind, 1.0).otherwise(0.0)) / F.count("*")
+    days = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg((n("error") - n("signup")).alias("d"))
+    row = days.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd")).where("sd > 0")
+    return row.select("n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round(F.col("mean") / (F.col("sd") / F.sqrt("n")), 4).alias("t"))
+
+
+def published_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates against a published rate of 0.5 with the interval 0.45 to 0.55."""
+    r = _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).alias("p"))
+    delta, e = F.col("p") - 0.5, F.sqrt(F.lit((0.55 - 0.45) / 3.92) ** 2 + F.col("p") * (1 - F.col("p")) / F.col("n"))
+    return r.select("event_type", "n", F.round(delta, 4).alias("delta"), F.round(delta / e, 4).alias("z"), F.round(delta - 1.96 * e, 4).alias("lo"), F.round(delta + 1.96 * e, 4).alias("hi"))
+
+
+def condition_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda kind: F.avg(F.when(F.col("event_type") == kind, F.col("value")))
+    r = _read(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(mean("error").alias("a"), mean("signup").alias("b"))
+    delta = F.col("b") - F.col("a")
+    return r.select("day", F.round("a", 6).alias("base"), F.round("b", 6).alias("changed"), F.round(delta, 6).alias("delta"), F.coalesce(delta < -0.02, F.lit(False)).alias("regressed"))
+
+
+def cost_per_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole, tasks = F.sum("value"), F.greatest(F.countDistinct("user_id"), F.lit(1))
+    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("trials"), F.round(whole, 4).alias("cost"), F.round(whole / tasks, 4).alias("cost_per_task"))
+
+
+def dimension_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    a = docs.groupBy("lang").agg(F.count("*").alias("all_rows"))
+    b = docs.join(_read(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("lang").alias("other")).agg(F.count("*").alias("labelled"))
+    return a.join(b, F.col("lang").eqNullSafe(F.col("other")), "full_outer").select(F.coalesce("lang", "other").alias("lang"), "all_rows", "labelled")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).alias("dimension"), F.col("turn").alias("trial"), "text")
+
+
+QUERIES |= {
+    "pass_at_1_rollup": lambda s, d: pass_rates(_turns(s, d), F.coalesce(F.length("text") > 200, F.lit(False)), "dimension", "trial"),
+    "pointwise_filter": lambda s, d: filter_counts(_read(s, d, "labels"), F.col("quality") == 1),
+    "preference_loss": lambda s, d: margin_loss(_read(s, d, "lineitem"), "l_linestatus", "l_discount", "l_tax"),
+    "synthetic_score": lambda s, d: _read(s, d, "events").select("event_id", synthetic_scores(F.col("event_type"), F.col("event_id"), {"error": 0.4, "purchase": 0.8}).alias("score")),
+    "paired_t": paired_t,
+    "one_sample_z": published_z,
+    "condition_deltas": condition_deltas,
+    "cost_per_task": cost_per_task,
+    "kept_runs": lambda s, d: last_runs(_read(s, d, "events").select("event_id", "user_id", "ts"), "user_id", 50, "ts", "event_id").select("event_id", "user_id"),
+    "channel_transitions": lambda s, d: transitions(_read(s, d, "events"), "user_id", "event_type", "ts", "event_id"),
+    "dimension_union": dimension_union,
+}
