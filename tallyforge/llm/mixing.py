@@ -3,11 +3,14 @@
 Each source's words are laid end to end, document after document, and packed into blocks of a fixed
 length. Sources with more weight than words are passed over up to ``passes`` times; what they can't
 fill is shared by weight among the rest. The output is a numbered row of slots, a block each, cut
-into shards. Every shard's counts of slots by source are a multinomial draw that is conditioned on
-the sources' totals: the slots of all sources are dealt to the shards by one pseudorandom
-permutation, so that a shard's counts vary as a draw does and each source still meets its target.
-A source's slots go through pseudorandom permutations of its block numbers, one permutation for
-each pass, and slots and blocks are joined by source and block number.
+into shards. Every shard's counts of slots by source are a multinomial draw by stratified uniforms:
+of N slots, each gets one of the N equal strata of 0 to 1 by a pseudorandom permutation, and the
+source in whose range of cumulated targets the stratum lies. Any one slot is of a source with the
+probability of its target, a shard's counts vary as a draw without replacement does, and over all
+shards each source meets its target. The draw is made from the source's side, stratum by stratum,
+which is the same table (``shard_counts`` has the counts). A source's slots go through pseudorandom
+permutations of its block numbers, one permutation for each pass, and slots and blocks are joined by
+source and block number (``mixed_shards`` has the blocks that come out).
 
 Nothing depends on how rows are partitioned, so reruns agree. Running sums are taken in two levels
 (``CHUNKS`` parts of each source, then the parts' totals), so that a source that holds most rows is
@@ -118,9 +121,15 @@ def placed(sizes: DataFrame) -> DataFrame:
 
 
 def slot_table(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row a slot of the output: skey, pass, block, slot and shard."""
+    """One row a slot of the output: skey, pass, block, slot and shard.
+
+    Runs of slots are dealt to a stated number of tasks, which adaptive plans leave alone: one for
+    each 2^18 slots and at least as many as a shuffle has.
+    """
+    slots = by_source.agg(F.max("all_slots")).first()[0] or 0  # one number
+    tasks = max(int(by_source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots >> 18))
     runs = by_source.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / SLOT_RUN).cast("long"))))
-    runs = runs.repartition("skey", "run")
+    runs = runs.repartition(tasks, "skey", "run")
     last = F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1
     slots = runs.withColumn("j", F.explode(F.sequence(F.col("run") * SLOT_RUN, last)))
     seed = F.lit(mix.seed)
@@ -138,6 +147,11 @@ def slot_table(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return slots.select("skey", "turn", "block", "slot", (F.col("slot") / mix.shard_slots).cast("long").alias("shard"))
 
 
+def shard_counts(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """shard, skey and the number of the shard's slots that the draw gives to the source."""
+    return slot_table(by_source, mix).groupBy("shard", "skey").agg(F.count("*").alias("n"))
+
+
 def block_table(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row for each document and block that share words: which words of the document those are."""
     b = mix.block
@@ -168,8 +182,32 @@ def mix_plan(docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, D
     return documents, by_source, takes
 
 
+def mixed_shards(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The output itself: shard, slot, source, and the text of each slot's block, words joined by one space.
+
+    Rows that repeat an id, source and text give their words to blocks one by one.
+    """
+    documents, _, takes = mix_plan(docs, mix)
+    words = F.filter(F.split("text", SPACES), lambda w: w != "")
+    # one row for equal rows; each begin has its own words of them
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")).alias("row_key"), source_key(docs).alias("skey"), F.xxhash64("text").alias("text_key"), "text").dropDuplicates(["row_key", "skey", "text_key"])
+    takes = takes.withColumn("row_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
+    keys = ["row_key", "skey", "text_key"]
+    spans = takes.groupBy(*keys).agg(F.collect_list(F.struct("shard", "slot", "begin", "lo", "hi")).alias("spans"))
+    cut = texts.join(spans.hint("merge"), keys).select("skey", words.alias("words"), "spans")
+    cut = cut.select("skey", F.explode(F.transform("spans", lambda x: F.struct(x["shard"].alias("shard"), x["slot"].alias("slot"), x["begin"].alias("begin"), F.array_join(F.slice("words", (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), " ").alias("piece")))).alias("x"))
+    # a block has at most ``block`` pieces
+    rows = cut.groupBy("x.shard", "x.slot", "skey").agg(F.sort_array(F.collect_list(F.struct("x.begin", "x.piece"))).alias("pieces"))
+    source = F.when(F.startswith("skey", F.lit("v")), F.substring("skey", 2, 1 << 30))
+    return rows.select("shard", "slot", source.alias("source"), F.array_join(F.transform("pieces", lambda p: p["piece"]), " ").alias("text"))
+
+
 def mix_digest(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row a document: size, source_size, target, and the words that the mix takes of it."""
+    """One row a document: size, source_size, target, and the words that the mix takes of it.
+
+    Only doc_id, source and text are read, whatever other columns ``docs`` has. An empty table gives
+    an empty one; null, blank and very long texts have the words that they have.
+    """
     documents, by_source, takes = mix_plan(docs, mix)
     taken = takes.groupBy("skey", "begin").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
     rows = documents.withColumn("begin", F.when(F.col("size") > 0, F.col("begin"))).join(taken.hint("merge"), ["skey", "begin"], "left")
