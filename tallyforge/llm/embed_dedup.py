@@ -1,11 +1,16 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one row kept a group.
 
-Vectors with equal labels are compared. Centres are fitted for each label on a bounded sample; each
-vector belongs to its nearest centre's cell. A vector within the angle a of a member of a cell lies
-no further than sin(a) beyond the plane that halves the way between the two centres, and is copied
-to that cell, so that every pair at the threshold meets in the cell of one of its two members: the
-result is exact. Cells are cut into blocks, and pairs of blocks are compared by a matrix product.
-A pair of blocks gives counts of links and, for each vector, the smallest partner, never all pairs.
+Vectors with equal labels are compared. Centres are fitted for each label on a bounded sample, more
+of them for larger labels; each vector belongs to its nearest centre's cell, and is copied to the
+cells whose bounding plane it is near. Two unit vectors at the threshold are a chord of
+sqrt(2 - 2 cosine) apart; were it to point straight at the other centre, the copy would need a
+reach of sin(angle). In ``n`` dimensions a chord that doesn't depend on the centres has a part of
+that direction with a deviation of chord / sqrt(n), and ``spread`` deviations are the reach, never
+more than sin(angle). So all links are found in few dimensions, and a link is missed with a
+probability of about 3e-7 for each plane in many, unless its direction was chosen to miss.
+
+Cells are cut into blocks, and pairs of blocks are compared by a matrix product. A pair of blocks
+gives counts of links and, for each vector, the smallest partner, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,17 +27,24 @@ from tallyforge.llm.scratch import Scratch
 
 @dataclass(frozen=True)
 class Settings:
-    """``sample`` bounds the vectors that the centres are fitted on, over all labels."""
+    """``sample`` bounds the vectors that the centres are fitted on, over all labels.
+
+    A label has a cell for each ``cell_rows`` different vectors, ``most_cells`` at most.
+    """
 
     cosine: float = 0.93
     sample: int = 8000
-    cells: int = 8
+    cell_rows: int = 1500
+    most_cells: int = 512
+    spread: float = 5.0
     rounds: int = 8
     block: int = 1000
     seed: int = 5
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1. Scaling by the largest part first keeps large and small numbers finite."""
+    rows = rows / np.abs(rows).max(1, keepdims=True)
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
@@ -52,19 +64,25 @@ def near_duplicates(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row.
 
     Rows whose label or vector is null, whose vector is empty, zero, or has a null or non-finite
-    part are linked with nothing. Vectors of other lengths under one label aren't compared. Ids are
-    taken to be unique; rows that repeat one count as vectors of their own in ``n_links``.
+    part are linked with nothing. Vectors of other lengths under one label aren't compared. Rows that
+    repeat an id count as vectors of their own in ``n_links`` and each follow their own vector; a row
+    with a null id has a null component and is kept. Only vec_id, label and embedding are read,
+    whatever other columns there are.
     """
     scratch = Scratch(df.sparkSession, "cells")
     value = F.col("embedding").cast("array<double>")
     good = F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(value, lambda x: x != 0)
-    rows = df.select("vec_id", F.col("label").cast("string").alias("label"), value.alias("v")).where("vec_id is not null and label is not null").where(F.coalesce(good, F.lit(False)))
-    rows = rows.withColumn("grp", F.concat_ws(":", "label", F.size("v")))
+    usable = F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    rows = df.select("vec_id", F.when(usable, F.concat_ws(":", F.col("label").cast("string"), F.size(value))).alias("grp"), F.when(usable, value).alias("v"))
     # equal vectors are one class with a count
-    classes = scratch.keep(rows.groupBy("grp", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
-    taken = classes.orderBy(F.xxhash64("id")).limit(s.sample).select("grp", "v").toPandas()
-    centres = {g: spherical_kmeans(np.stack(p["v"].to_list()), s.cells, s.rounds, s.seed) for g, p in taken.groupby("grp")}
-    reach = float(np.sqrt(1 - s.cosine**2)) + 1e-9
+    classes = scratch.keep(rows.where("grp is not null").groupBy("grp", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")))
+    # the same id may stand for unlike vectors; classes are numbered by it and the vector
+    classes = scratch.keep(classes.withColumn("k", F.monotonically_increasing_id()))
+    taken = classes.orderBy(F.xxhash64("id"), "k").limit(s.sample).select("grp", "v").toPandas()
+    sizes = {g: n for g, n in classes.groupBy("grp").agg(F.count("*").alias("n")).join(F.broadcast(df.sparkSession.createDataFrame([(g,) for g in sorted(set(taken["grp"]))], "grp string")), "grp").collect()}
+    centres = {g: spherical_kmeans(np.stack(p["v"].to_list()), min(s.most_cells, max(1, -(-sizes[g] // s.cell_rows)), len(p)), s.rounds, s.seed) for g, p in taken.groupby("grp")}
+    chord = float(np.sqrt(2 - 2 * s.cosine))
+    exact = float(np.sqrt(1 - s.cosine**2)) if s.cosine > 0 else 1.0
 
     def assign(batches):
         for pdf in batches:
@@ -77,22 +95,23 @@ def near_duplicates(df: DataFrame, s: Settings = Settings()) -> DataFrame:
                 dots = x @ c.T
                 near = dots.argmax(1)
                 gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[near]
+                reach = min(exact, s.spread * chord / np.sqrt(x.shape[1])) + 1e-9
                 beyond = (dots[np.arange(len(x)), near][:, None] - dots) <= reach * gap + 1e-9
                 beyond[np.arange(len(x)), near] = True
                 i, cell = np.nonzero(beyond)
-                home = near[i]
                 p = part.iloc[i]
-                block = pd.util.hash_array(p["id"].to_numpy().astype("int64")).astype("uint64") >> np.uint64(1)
-                out.append(pd.DataFrame({"cell": [f"{g}#{k}" for k in cell], "home": home == cell, "hash": block.astype("int64"), "id": p["id"].to_numpy(), "m": p["m"].to_numpy(), "v": p["v"].to_numpy()}))
+                block = pd.util.hash_array(p["k"].to_numpy().astype("int64")).astype("uint64") >> np.uint64(1)
+                lists = [np.flatnonzero(r).astype(np.int32) for r in beyond]
+                out.append(pd.DataFrame({"cell": [f"{g}#{k}" for k in cell], "no": cell.astype(np.int32), "home": near[i].astype(np.int32), "cells": [lists[j] for j in i], "hash": block.astype("int64"), "id": p["k"].to_numpy(), "m": p["m"].to_numpy(), "v": p["v"].to_numpy()}))
             if out:
                 yield pd.concat(out)
 
-    cells = scratch.keep(classes.mapInPandas(assign, "cell string, home boolean, hash long, id long, m long, v array<double>"))
+    cells = scratch.keep(classes.mapInPandas(assign, "cell string, no int, home int, cells array<int>, hash long, id long, m long, v array<double>"))
     n = cells.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / s.block)).cast("long").alias("n"))
     cut = cells.join(n, "cell").withColumn("b", F.pmod("hash", "n"))
     # block pair (i, j), i <= j, gets the rows of blocks i and j
     placed = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    placed = placed.select("cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "home", "id", "m", "v")
+    placed = placed.select("cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "no", "home", "cells", "id", "m", "v")
 
     def compare(pdf):
         x = unit(np.stack(pdf["v"].to_list()))
@@ -100,11 +119,20 @@ def near_duplicates(df: DataFrame, s: Settings = Settings()) -> DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         first, second = np.flatnonzero(b == i), np.flatnonzero(b == j)
         hit = (x[first] @ x[second].T) >= s.cosine
-        # a pair counts in the cell of the smaller id's home, or the larger's when the smaller is a copy here
+        # a pair counts in the home cell of its smaller id, or if the larger one isn't there, in that one's
         small = ids[first][:, None] < ids[second][None, :]
-        lead = np.where(small, home[first][:, None], home[second][None, :])
-        hit_all = hit & (ids[first][:, None] != ids[second][None, :])
-        hit = hit_all & lead
+        at = home == pdf["no"].iloc[0]
+        lead = np.where(small, at[first][:, None], at[second][None, :])
+        hit &= ids[first][:, None] != ids[second][None, :]
+        own, other = np.nonzero(hit & ~lead)
+        if len(own):
+            there = np.zeros((len(ids), max(home.max(), max(c.max() for c in pdf["cells"])) + 1), bool)
+            for r, c in enumerate(pdf["cells"]):
+                there[r, c] = True
+            a, b2 = first[own], second[other]
+            low, high = np.where(ids[a] < ids[b2], a, b2), np.where(ids[a] < ids[b2], b2, a)
+            lead[own, other] = at[high] & ~there[high, home[low]]
+        hit &= lead
         out = []
         for own, other, h in ((first, second, hit), *(((second, first, hit.T),) if i != j else ())):
             low = np.where(h, ids[other][None, :], np.iinfo(np.int64).max).min(1) if len(other) else np.full(len(own), np.iinfo(np.int64).max)
@@ -115,9 +143,11 @@ def near_duplicates(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     met = scratch.keep(placed.groupBy("cell", "i", "j").applyInPandas(compare, "id long, links long, low long"))
     counts = met.groupBy("id").agg(F.sum("links").alias("links"))
     found = connected_components(met.select("id", "low"), scratch)
-    members = rows.join(classes.select("grp", "v", F.col("id"), "m"), ["grp", "v"]).select("vec_id", "id", "m")
-    marks = members.join(counts, "id", "left").join(found.withColumnRenamed("node", "id"), "id", "left")
-    marks = marks.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")).dropDuplicates(["vec_id"])
-    out = df.select("vec_id").join(marks, "vec_id", "left")
+    # classes are told by number; a component's name is its smallest vec_id
+    lows = found.withColumnRenamed("node", "k").join(classes.select("k", "id"), "k").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = found.withColumnRenamed("node", "k").join(lows, "component").select("k", "component_id")
+    marks = classes.join(counts.withColumnRenamed("id", "k"), "k", "left").join(named, "k", "left")
+    marks = marks.select("grp", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    out = rows.join(marks, ["grp", "v"], "left")
     component = F.coalesce("component_id", "vec_id").cast("long")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
