@@ -1,8 +1,11 @@
 """Quality scores by co-training a text-content and a metadata classifier.
 
-Both are logistic models. In every round each model labels the unlabelled sampled rows it is most
-sure of, and the other learns from them. At the end each view is calibrated on the labelled rows
-(a logistic map of its margin), and the mean of both calibrated margins scores every document.
+Both are logistic models. The content view of a document holds the shares of its words in hashed
+buckets and a few shares of letters and lines, the metadata view its language, source and stated
+length. In every round both models score all unlabelled documents; the rows that each is most sure
+of are labelled by it, and the other learns from them. At the end each view is calibrated on labelled
+rows that it wasn't fitted on (a logistic map of its margin), and the mean of both calibrated margins
+scores every document.
 """
 
 from __future__ import annotations
@@ -14,28 +17,55 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tallyforge.llm.arrowtext import release
+from tallyforge.llm.scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Settings:
-    """``labelled`` and ``unlabelled`` bound the sampled rows that the models are fit on."""
+    """``labelled`` bounds the labelled rows that the models are fitted and calibrated on.
+
+    Of them a share of ``calibrated`` is for calibration only. Each round labels the ``exchanged``
+    unlabelled documents that a model is most sure of, of each class, from all of them.
+    """
 
     labelled: int = 2000
-    unlabelled: int = 1500
-    rounds: int = 4
+    calibrated: float = 0.25
+    rounds: int = 2
     exchanged: int = 50
     sure: float = 0.95
 
 
-def content_view(text: str | None) -> list[float]:
-    """Shares and lengths that describe the whole text."""
-    words = text.split() if text else []
-    n, c = max(len(words), 1), max(len(text or ""), 1)
-    lines = (text or "").split("\n")
-    letters = sum(map(str.isalpha, text or ""))
-    upper = sum(map(str.isupper, text or ""))
-    digits = sum(map(str.isdigit, text or ""))
-    spaces = sum(map(str.isspace, text or ""))
-    return [np.log1p(len(words)), len(set(words)) / n, letters / c, upper / c, digits / c, (c - letters - digits - spaces) / c, len(set(lines)) / len(lines), min(letters / n, 20.0), sum(w.isupper() for w in words) / n]
+BUCKETS, SHAPES, PAGE = 256, 9, 40
+
+
+class ContentView:
+    """Views of whole texts; what is known of a word is kept while its task runs."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.rows: list[tuple] = []
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = text.split() if text else []
+        n, c = max(len(words), 1), max(len(text or ""), 1)
+        out = np.zeros(BUCKETS + SHAPES)
+        if words:
+            known, rows = self.known, self.rows
+            if len(known) > 300_000:
+                known.clear()
+                rows.clear()
+            for w in set(words).difference(known):
+                known[w] = len(rows)
+                rows.append((crc32(w.lower().encode()) % BUCKETS, sum(map(str.isalpha, w)), sum(map(str.isupper, w)), sum(map(str.isdigit, w)), len(w), w.isupper()))
+            at, times = np.unique(np.array([known[w] for w in words]), return_counts=True)
+            stats = np.array([rows[i] for i in at.tolist()], dtype=np.float64)
+            out[:BUCKETS] = np.sqrt(np.bincount(stats[:, 0].astype(int), times, BUCKETS) / n)
+            letters, upper, digits, size, shouted = times @ stats[:, 1:]
+            out[BUCKETS:] = [np.log1p(len(words)), len(at) / n, letters / c, upper / c, digits / c, (size - letters - digits) / c, 0.0, min(letters / n, 20.0), shouted / n]
+        lines = (text or "").split("\n")
+        out[BUCKETS + 6] = len(set(lines)) / len(lines)
+        return out
 
 
 def metadata_view(lang: str | None, source: str | None, n_chars) -> list[float]:
@@ -55,73 +85,123 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, steps: int = 40
     return w
 
 
-class CoTrained:
-    def __init__(self, views: list[np.ndarray], y: np.ndarray, open_views: list[np.ndarray], s: Settings):
-        self.mean = [v.mean(0) for v in views]
-        self.scale = [v.std(0) + 1e-9 for v in views]
-        labelled = [self.ready(v, k) for k, v in enumerate(views)]
-        free = [self.ready(v, k) for k, v in enumerate(open_views)]
-        own = [(x, y) for x in labelled]
-        left = np.ones(len(free[0]), bool)
-        for _ in range(s.rounds):
-            for k in (0, 1):
-                w = logistic(*own[k])
-                p = 1 / (1 + np.exp(-np.clip(free[k] @ w, -30, 30)))
-                for label, sure in ((1.0, p), (0.0, 1 - p)):
-                    at = np.argsort(-np.where(left & (sure >= s.sure), sure, -1), kind="stable")[: s.exchanged]
-                    at = at[(left & (sure >= s.sure))[at]]
-                    left[at] = False
-                    other = own[1 - k]
-                    own[1 - k] = (np.vstack([other[0], free[1 - k][at]]), np.append(other[1], np.full(len(at), label)))
-        self.weights = [logistic(*o) for o in own]
-        margins = [x @ w for x, w in zip(labelled, self.weights, strict=True)]
-        self.calibration = [logistic(np.stack([m, np.ones(len(m))], 1), y) for m in margins]
-
-    def ready(self, view: np.ndarray, k: int) -> np.ndarray:
-        return np.hstack([(view - self.mean[k]) / self.scale[k], np.ones((len(view), 1))])
-
-    def score(self, views: list[np.ndarray]) -> np.ndarray:
-        z = [(self.ready(v, k) @ self.weights[k]) * self.calibration[k][0] + self.calibration[k][1] for k, v in enumerate(views)]
-        return 1 / (1 + np.exp(-np.clip(sum(z) / 2, -30, 30)))
-
-
-def views(frame: pd.DataFrame) -> list[np.ndarray]:
+class Model:
+    """One view: standardised logistic weights, and a calibration of their margin."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.mean, self.scale, self.x, self.y = x.mean(0), x.std(0) + 1e-2, x, y
+        self.calibration = np.array([1.0, 0.0])
+        self.fit()
+
+    def ready(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
+
+    def fit(self) -> None:
+        self.weights = logistic(self.ready(self.x), self.y, 1e-2)
+
+    def learn(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x, self.y = np.vstack([self.x, x]), np.append(self.y, y)
+        self.fit()
+
+    def margin(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(self.ready(x) @ self.weights, -30, 30)
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        m = self.margin(x)
+        self.calibration = logistic(np.stack([m, np.ones(len(m))], 1), y)
+
+    def calibrated(self, x: np.ndarray) -> np.ndarray:
+        return self.margin(x) * self.calibration[0] + self.calibration[1]
+
+    def light(self) -> Model:
+        """Without its training rows, to be sent to tasks."""
+        out = Model.__new__(Model)
+        out.mean, out.scale, out.weights, out.calibration = self.mean, self.scale, self.weights, self.calibration
+        return out
+
+
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def views(frame: pd.DataFrame, content: ContentView) -> tuple[np.ndarray, np.ndarray]:
     text = [t if isinstance(t, str) else None for t in frame["text"]]
-    return [np.array([content_view(t) for t in text]), np.array([metadata_view(*r) for r in zip(frame["lang"], frame["source"], frame["n_chars"], strict=True)])]
+    return np.array([content(t) for t in text]).reshape(len(frame), -1), np.array([metadata_view(*r) for r in zip(frame["lang"], frame["source"], frame["n_chars"], strict=True)]).reshape(len(frame), -1)
+
+
+def mapped(docs: DataFrame, make, schema: str) -> DataFrame:
+    """``make(ids, content view, metadata view)`` of 500 rows at a time; ids stay text, so that large ones stay whole."""
+
+    def run(batches):
+        content = ContentView()
+        for pdf in batches:
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
+                yield make(part, *views(part, content))
+        release()
+
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id and the probability of good quality for every row.
 
     Null and empty texts and null metadata have views of their own and are scored like any others.
-    Labels whose crc32 of the id is divisible by 5 are never learnt from. Without labels of both
-    classes every score is 0.5.
+    Rows that repeat an id are scored one by one; of several labels of an id the higher counts, and
+    of several labelled rows of an id one is learnt from. Labels whose crc32 of the id is divisible by
+    5 are never learnt from. Without labels of both classes every score is 0.5. Ids are longs of any
+    size. Only doc_id, text, lang, source and n_chars are read, whatever other columns there are.
     """
-    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    usable = labels.select("doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source", "n_chars")
+    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     key = F.xxhash64("doc_id")
-    chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(key, "doc_id").limit(s.labelled)
-    free = docs.join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id").orderBy(key, "doc_id").limit(s.unlabelled).select("doc_id", F.lit(None).cast("int").alias("quality"))
-    picked = chosen.select("doc_id", F.col("quality").cast("int").alias("quality")).unionByName(free)
-    schema = "doc_id bigint, quality int, text_view array<double>, page_view array<double>"
-
-    def look(batches):
-        for pdf in batches:
-            a, b = views(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "text_view": list(a), "page_view": list(b)})
-
-    # the picked ids are few by the two bounds, and only their views are gathered
-    rows = docs.join(F.broadcast(picked), "doc_id").mapInPandas(look, schema).toPandas().sort_values("doc_id").drop_duplicates("doc_id")
-    known, rest = rows[rows["quality"].notna()], rows[rows["quality"].isna()]
-    model = None
-    if known["quality"].nunique() == 2:
-        stack = lambda f: [np.array(f[c].to_list(), dtype=float).reshape(len(f), w) for c, w in (("text_view", 9), ("page_view", 40))]
-        model = CoTrained(stack(known), known["quality"].to_numpy(float), stack(rest), s)
-
-    def score(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "score": model.score(views(part)) if model else 0.5})
-
-    return docs.mapInPandas(score, "doc_id bigint, score double")
+    chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(key, "doc_id").limit(s.labelled)
+
+    def gather(picked: DataFrame) -> pd.DataFrame:
+        """Views of the few rows that ``picked`` names, by id."""
+        keep = lambda part, a, b: pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "content": list(a), "page": list(b)})
+        rows = mapped(docs.join(F.broadcast(picked), "doc_id"), keep, "doc_id string, quality double, content array<double>, page array<double>").toPandas()
+        rows["id"] = rows["doc_id"].astype(object).map(int)
+        rows["rank"] = [tuple(v) for v in rows["content"]]
+        return rows.sort_values(["id", "rank"], kind="stable").drop_duplicates("id")
+
+    stack = lambda f, c: np.array(f[c].to_list(), dtype=float).reshape(len(f), -1)
+    known = gather(chosen.withColumn("quality", F.col("quality").cast("double")))
+    apart = np.array([crc32(f"calibrate {i}".encode()) % 1000 < 1000 * s.calibrated for i in known["id"]], dtype=bool)
+    y = known["quality"].to_numpy(float)
+    models: list[Model] = []
+    if len(set(y[~apart])) == 2:
+        models = [Model(stack(known[~apart], c), y[~apart]) for c in ("content", "page")]
+        free = docs.where("doc_id is not null").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
+        scratch, seen = Scratch(docs.sparkSession, "quality"), set()
+        for _ in range(s.rounds):
+            now = [m.light() for m in models]
+            rate = lambda part, a, b, now=now: pd.DataFrame({"doc_id": part["doc_id"], "p0": sigmoid(now[0].margin(a)), "p1": sigmoid(now[1].margin(b))})
+            rated = scratch.keep(mapped(free, rate, "doc_id string, p0 double, p1 double").select(F.col("doc_id").cast("bigint").alias("doc_id"), "p0", "p1"))
+            told: list[dict[int, float]] = [{}, {}]
+            for k in (0, 1):
+                for label, sure in ((1.0, F.col(f"p{k}")), (0.0, 1 - F.col(f"p{k}"))):
+                    # a sort with a limit: a few rows of each task
+                    best = rated.where(sure >= s.sure).select("doc_id", sure.alias("sure")).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "doc_id").limit(s.exchanged + len(seen)).collect()
+                    fresh = [r.doc_id for r in best if r.doc_id not in seen][: s.exchanged]
+                    told[1 - k].update((i, label) for i in fresh if i not in told[1 - k])
+            scratch.drop(rated)
+            named = sorted(set(told[0]) | set(told[1]))
+            if not named:
+                break
+            seen.update(named)
+            found = gather(docs.sparkSession.createDataFrame([(i, None) for i in named], "doc_id bigint, quality double")).set_index("id")
+            for k, column in ((0, "content"), (1, "page")):
+                ids = [i for i in told[k] if i in found.index]
+                if ids:
+                    models[k].learn(stack(found.loc[ids], column), np.array([told[k][i] for i in ids]))
+        for m, column in zip(models, ("content", "page"), strict=True):
+            if len(set(y[apart])) == 2:
+                m.calibrate(stack(known[apart], column), y[apart])
+    last = [m.light() for m in models]
+
+    def score(part, a, b):
+        value = sigmoid((last[0].calibrated(a) + last[1].calibrated(b)) / 2) if last else 0.5
+        return pd.DataFrame({"doc_id": part["doc_id"], "score": value})
+
+    return mapped(docs, score, "doc_id string, score double").select(F.col("doc_id").cast("bigint").alias("doc_id"), "score")
