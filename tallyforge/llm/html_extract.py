@@ -2,7 +2,7 @@
 
 A page is cut into flat blocks at block-level tags. Each block has its word count and link density,
 those of the blocks before and after it, and what its enclosing elements say (inside the page's
-article, inside an element or class that marks boilerplate, a heading). A decision tree trained in
+article, inside an element or class that marks boilerplate wholly or in part, a heading). A decision tree trained in
 numpy on the small labelled table below decides which blocks are kept.
 """
 
@@ -28,16 +28,38 @@ HOLDERS = AROUND | BODY | {"div", "section", "ul", "ol", "dl", "table", "figure"
 #: Elements that end a block of text.
 BREAKS = HOLDERS | HEADINGS | {"p", "li", "tr", "td", "th", "dt", "dd", "pre", "hr", "body", "html", "address", "figcaption", "caption", "thead", "tbody", "tfoot", "summary", "legend", "option", "optgroup"}
 #: Words in class, id and role that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|captcha|comments?|commentlist|cookies?|consent|copyright|dialog|disqus|footer|foot|gdpr|header|masthead|menu|modal|"
+MARK = re.compile(
+    r"ads?|advert\w*|banner|breadcrumbs?|byline|captcha|comments?|commentlist|cookies?|consent|copyright|dialog|disqus|footer|foot|gdpr|header|masthead|menu|modal|"
     r"nav\w*|newsletter|notice|overlay|pagination|pager|paywall|popup|privacy|promo\w*|recommend\w*|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|"
-    r"subscribe\w*|tags|teaser|toolbar|tracking|trending|widget|contentinfo|complementary|navigation|alert)(?:$|[\s_-])",
-    re.IGNORECASE,
+    r"subscribe\w*|tags|teaser|toolbar|tracking|trending|widget|contentinfo|complementary|navigation|alert"
 )
+#: Last parts of a name that say nothing of what it holds: a comment-list holds comments.
+SHELLS = {"area", "bar", "block", "body", "box", "container", "content", "form", "inner", "item", "items", "left", "link", "links", "list", "main", "outer", "panel", "posts", "region", "right", "section", "slot", "top", "unit", "wrap", "wrapper"}
+#: Header words, which inside an article stand for its own header.
+OWN_HEADER = {"header", "masthead"}
 TAG = re.compile(r"""<(?:(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z))""", re.DOTALL)
 NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
 
+def marked(named: str, inside: bool) -> float:
+    """How far a class, id or role marks boilerplate: 1 if its head word does, 0.5 if another part does.
+
+    The head of a name is its last part that isn't a shell or a number: ``search`` alone or in
+    ``search-box``, but ``results`` in ``search-results``.
+    """
+    found = 0.0
+    for name in named.lower().split():
+        parts = [p for p in re.split(r"[_\W\d]+", name) if p]
+        while len(parts) > 1 and parts[-1] in SHELLS:
+            parts.pop()
+        hits = [bool(MARK.fullmatch(p)) and not (inside and p in OWN_HEADER) for p in parts]
+        if hits and hits[-1]:
+            return 1.0
+        if any(hits):
+            found = 0.5
+    return found
+
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_article", "around", "heading")
 #: Labelled blocks: the features in the order above, and whether the block is article text.
 #: in_article: 1 inside the page's article, -1 outside of it, 0 when the page marks none.
@@ -59,10 +81,22 @@ LABELLED = np.array(
         (50, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (60, 0.0, 0, 0.0, 90, 0.0, 0, 0, 0, 1), (8, 0.0, 0, 0.0, 70, 0.0, 0, 0, 1, 1),
         (2, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.9, 60, 0.0, 3, 1.0, 0, 0, 0, 0), (30, 0.8, 3, 1.0, 50, 0.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (8, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0),
         (6, 0.3, 4, 1.0, 5, 0.5, 0, 0, 0, 0), (9, 0.0, 3, 1.0, 5, 0.0, 0, 0, 0, 0), (4, 0.0, 5, 0.0, 0, 0.0, 0, 0, 0, 0), (10, 0.5, 70, 0.0, 0, 0.0, 0, 0, 0, 0), (14, 0.7, 20, 0.0, 60, 0.0, 0, 0, 0, 0),
+        # as short and full of links, but under no such name
+        (3, 1.0, 40, 0.0, 2, 1.0, 1, 0, 0, 1), (6, 0.8, 5, 1.0, 30, 0.0, 1, 0, 0, 1), (14, 0.9, 60, 0.0, 8, 0.9, 1, 0, 0, 1), (25, 0.0, 20, 0.0, 3, 1.0, 1, 0, 0, 1), (20, 0.0, 3, 1.0, 0, 0.0, 1, 0, 0, 1), (3, 0.0, 3, 0.0, 1, 0.0, 1, 0, 0, 1), (25, 0.0, 3, 1.0, 4, 1.0, 1, 0, 0, 1), (30, 0.0, 1, 0.0, 4, 1.0, 1, 0, 0, 1),
+        (3, 0.3, 3, 0.0, 11, 0.0, 1, 0, 0, 1), (2, 1.0, 25, 0.0, 25, 0.0, 1, 0, 0, 1), (24, 0.0, 24, 0.0, 4, 0.0, 1, 0, 0, 1), (24, 0.0, 12, 0.0, 2, 1.0, 1, 0, 0, 1),
+        (5, 0.0, 3, 0.0, 4, 0.0, 1, 0, 0, 1), (12, 0.0, 4, 0.0, 6, 0.0, 1, 0, 0, 1), (2, 0.0, 2, 0.0, 2, 0.0, 1, 0, 0, 1), (8, 0.0, 0, 0.0, 3, 0.0, 1, 0, 0, 1), (3, 0.0, 5, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 0.0, 1, 1.0, 5, 0.0, 1, 0, 0, 1), (11, 0.0, 3, 1.0, 2, 1.0, 1, 0, 0, 1), (4, 0.0, 2, 0.0, 3, 1.0, 1, 0, 0, 1), (13, 0.0, 5, 0.0, 7, 0.0, 1, 0, 1, 1),
+        # the last paragraph of such a page
+        (10, 0.0, 70, 0.0, 0, 0.0, 0, 0, 0, 1), (6, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), (12, 0.0, 25, 0.0, 0, 0.0, 0, 0, 0, 1),
+        # names of which only a part marks boilerplate: words and links tell
+        (30, 0.0, 40, 0.0, 30, 0.0, 1, 0.5, 0, 1), (12, 0.1, 60, 0.0, 20, 0.0, 1, 0.5, 0, 1), (90, 0.05, 8, 0.0, 40, 0.0, 1, 0.5, 0, 1), (9, 0.0, 70, 0.0, 40, 0.0, 1, 0.5, 1, 1), (60, 0.0, 30, 0.0, 20, 0.0, 0, 0.5, 0, 1), (25, 0.1, 50, 0.0, 9, 0.0, 0, 0.5, 0, 1),
+        (3, 1.0, 40, 0.0, 2, 1.0, 1, 0.5, 0, 0), (6, 0.8, 5, 1.0, 30, 0.0, 1, 0.5, 0, 0), (14, 0.9, 60, 0.0, 8, 0.9, 1, 0.5, 0, 0), (4, 0.0, 3, 1.0, 3, 1.0, 0, 0.5, 0, 0), (5, 1.0, 50, 0.0, 60, 0.0, 0, 0.5, 0, 0), (12, 0.6, 6, 1.0, 5, 1.0, 0, 0.5, 0, 0),
         (50, 0.0, 70, 0.0, 40, 0.0, 0, 1, 0, 0), (12, 0.0, 3, 1.0, 80, 0.0, 0, 1, 0, 0), (3, 0.0, 90, 0.0, 90, 0.0, 0, 1, 0, 0), (2, 1.0, 0, 0.0, 2, 1.0, 0, 1, 0, 0), (90, 0.05, 12, 0.0, 80, 0.0, 0, 1, 0, 0),
     ],
     dtype=np.float64,
 )
+#: Short blocks of an article, under no name that marks boilerplate, are text beside any neighbours.
+BESIDE = ((0, 0.0), (2, 1.0), (4, 0.0), (30, 0.0))
+LABELLED = np.vstack([LABELLED, [(words, links, *before, *after, 1, 0, 0, 1) for words in (1, 2, 4, 6, 10, 15) for links in (0.0, 1.0) for before in BESIDE for after in BESIDE]])
 
 
 @dataclass
@@ -102,20 +136,20 @@ def decide(node: Node, row: tuple) -> int:
     return node.label
 
 
-def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
+def blocks(page: str) -> list[tuple[str, int, float, int, float, int]]:
     """(text, words, link density, article depth, around, heading) of each flat block in page order."""
     out: list[list] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, int]] = []
-    inside = around = in_link = heading = 0
+    stack: list[tuple[str, int, tuple[int, int]]] = []
+    inside = around = partly = in_link = heading = 0
 
     def end() -> None:
         if text:
             words = html_std.unescape("".join(text)).split()
             if words:
                 n = len(html_std.unescape("".join(linked)).split()) if linked else 0
-                out.append((" ".join(words), len(words), min(1.0, n / len(words)), int(inside > 0), int(around > 0), heading))
+                out.append((" ".join(words), len(words), min(1.0, n / len(words)), int(inside > 0), 1.0 if around else 0.5 if partly else 0.0, heading))
             text.clear()
             linked.clear()
 
@@ -151,22 +185,22 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int, int]]:
             if name == "body" and not closing:
                 while stack and stack[-1][0] == "head":
                     _, i, a = stack.pop()
-                    inside, around = inside - i, around - a
+                    inside, around, partly = inside - i, around - a[0], partly - a[1]
             elif name in HOLDERS:
                 if not closing:
                     if attributes.rstrip().endswith("/"):
                         continue
-                    marked = name in AROUND and not (name == "header" and inside)
-                    if attributes and not marked:
+                    mark = float(name in AROUND and not (name == "header" and inside))
+                    if attributes and not mark:
                         named = " ".join(next(filter(None, g), "") for g in NAMED.findall(attributes))
-                        marked = bool(named and MARKS.search(named)) or bool(HIDDEN.search(attributes))
-                    i, a = int(name in BODY and not marked), int(marked)
+                        mark = 1.0 if HIDDEN.search(attributes) else marked(named, inside > 0) if named else 0.0
+                    i, a = int(name in BODY and mark < 1), (int(mark == 1), int(mark == 0.5))
                     stack.append((name, i, a))
-                    inside, around = inside + i, around + a
+                    inside, around, partly = inside + i, around + a[0], partly + a[1]
                 elif any(s[0] == name for s in stack):
                     while True:
                         s, i, a = stack.pop()
-                        inside, around = inside - i, around - a
+                        inside, around, partly = inside - i, around - a[0], partly - a[1]
                         if s == name:
                             break
     end()
@@ -178,12 +212,12 @@ def main_text(page: str | None, tree: Node) -> str:
     if not page:
         return ""
     found = blocks(page)
-    marked = any(b[3] and not b[4] for b in found)
+    known = any(b[3] and b[4] < 1 for b in found)
     kept = []
     for k, (text, words, links, inside, around, heading) in enumerate(found):
         before = found[k - 1][1:3] if k else (0, 0.0)
         after = found[k + 1][1:3] if k + 1 < len(found) else (0, 0.0)
-        if decide(tree, (words, links, *before, *after, (1 if inside else -1) if marked else 0, around, heading)):
+        if decide(tree, (words, links, *before, *after, (1 if inside else -1) if known else 0, around, heading)):
             kept.append(text)
     return "\n".join(kept)
 
@@ -191,7 +225,8 @@ def main_text(page: str | None, tree: Node) -> str:
 def extract(df: DataFrame, html: str = "html", carry: tuple[str, ...] = ("page_id", "url"), out: str = "text") -> DataFrame:
     """``carry`` and the main text of each whole page; empty for null and empty pages.
 
-    Repeated rows each give a row. Markup that never closes is read to the end of the page.
+    Repeated rows each give a row. Markup that never closes is read to the end of the page. Only the
+    carried columns and ``html`` are read, whatever other columns ``df`` has.
     """
     from tallyforge.llm.arrowtext import map_column
 
