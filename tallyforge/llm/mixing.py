@@ -194,8 +194,10 @@ def mixed_shards(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     takes = takes.withColumn("row_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")))
     keys = ["row_key", "skey", "text_key"]
     spans = takes.groupBy(*keys).agg(F.collect_list(F.struct("shard", "slot", "begin", "lo", "hi")).alias("spans"))
-    cut = texts.join(spans.hint("merge"), keys).select("skey", words.alias("words"), "spans")
-    cut = cut.select("skey", F.explode(F.transform("spans", lambda x: F.struct(x["shard"].alias("shard"), x["slot"].alias("slot"), x["begin"].alias("begin"), F.array_join(F.slice("words", (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), " ").alias("piece")))).alias("x"))
+    # the words are bound once a row; named as a column, they would be split again for every span
+    piece = lambda w, x: F.struct(x["shard"].alias("shard"), x["slot"].alias("slot"), x["begin"].alias("begin"), F.array_join(F.slice(w, (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")), " ").alias("piece"))
+    made = F.element_at(F.transform(F.array(words), lambda w: F.transform("spans", lambda x: piece(w, x))), 1)
+    cut = texts.join(spans.hint("merge"), keys).select("skey", F.explode(made).alias("x"))
     # a block has at most ``block`` pieces
     rows = cut.groupBy("x.shard", "x.slot", "skey").agg(F.sort_array(F.collect_list(F.struct("x.begin", "x.piece"))).alias("pieces"))
     source = F.when(F.startswith("skey", F.lit("v")), F.substring("skey", 2, 1 << 30))
@@ -231,9 +233,10 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     keys = ["row_key", "skey", "text_key"]
     joined = keyed.dropDuplicates(keys).join(spans.hint("merge"), keys)
     cut = F.filter(F.split("text", SPACES), lambda w: w != "")
-    pieces = F.flatten(F.transform("spans", lambda s: F.slice(F.col("cut"), (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
+    # the words are bound once a row; named as a column, they would be split again for every span
+    taken = lambda words: F.flatten(F.transform("spans", lambda s: F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int"))))
+    pieces = F.element_at(F.transform(F.array(cut), taken), 1)
     whole = F.col("words") == word_count(F.col("text"))
-    joined = joined.withColumn("cut", F.when(~whole, cut))
     joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(pieces, " ")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
