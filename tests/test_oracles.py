@@ -16,8 +16,8 @@ def cell(v):
     if pd.isna(v):
         return None
     if isinstance(v, (int, float)) or hasattr(v, "dtype"):
-        return str(round(float(v), 4))
-    return str(v)[:19].removesuffix(" 00:00:00")
+        return str(round(float(v), 6) + 0.0)
+    return str(v).removesuffix(" 00:00:00")
 
 
 def rows(frame):
