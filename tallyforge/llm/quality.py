@@ -40,32 +40,47 @@ BUCKETS, SHAPES, PAGE = 256, 9, 40
 
 
 class ContentView:
-    """Views of whole texts; what is known of a word is kept while its task runs."""
+    """Views of whole texts, some at a time; what is known of a word is kept while its task runs."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.rows: list[tuple] = []
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.split() if text else []
-        n, c = max(len(words), 1), max(len(text or ""), 1)
-        out = np.zeros(BUCKETS + SHAPES)
-        if words:
-            known, rows = self.known, self.rows
-            if len(known) > 300_000:
-                known.clear()
-                rows.clear()
-            for w in set(words).difference(known):
-                known[w] = len(rows)
-                rows.append((crc32(w.lower().encode()) % BUCKETS, sum(map(str.isalpha, w)), sum(map(str.isupper, w)), sum(map(str.isdigit, w)), len(w), w.isupper()))
-            at, times = np.unique(np.array([known[w] for w in words]), return_counts=True)
-            stats = np.array([rows[i] for i in at.tolist()], dtype=np.float64)
-            out[:BUCKETS] = np.sqrt(np.bincount(stats[:, 0].astype(int), times, BUCKETS) / n)
-            letters, upper, digits, size, shouted = times @ stats[:, 1:]
-            out[BUCKETS:] = [np.log1p(len(words)), len(at) / n, letters / c, upper / c, digits / c, (size - letters - digits) / c, 0.0, min(letters / n, 20.0), shouted / n]
-        lines = (text or "").split("\n")
-        out[BUCKETS + 6] = len(set(lines)) / len(lines)
-        return out
+        self.facts = np.zeros((0, 6))
+        # letter, capital, digit of each character of the first plane; later ones are none of these
+        self.kinds = np.array([(c.isalpha(), c.isupper(), c.isdigit()) for c in map(chr, range(1 << 16))] + [(False, False, False)], dtype=np.float64)
+
+    def facts_of(self, words: list[str]) -> np.ndarray:
+        """Numbers of words, whose bucket, letters, capitals, digits, length, and whether all letters are capitals are in ``facts``."""
+        known = self.known
+        fresh = set(words).difference(known)
+        if fresh:
+            known.update(zip(list(fresh), range(len(known), len(known) + len(fresh)), strict=True))
+            order = list(fresh)
+            size = np.array([len(w) for w in order])
+            code = np.minimum(np.frombuffer("".join(order).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), len(self.kinds) - 1)
+            kinds = np.add.reduceat(self.kinds[code], np.cumsum(size) - size)
+            bucket = np.array([crc32(w.lower().encode("utf-8", "surrogatepass")) for w in order]) % BUCKETS
+            rows = np.column_stack([bucket, kinds, size, (kinds[:, 1] > 0) & (kinds[:, 1] == kinds[:, 0])])
+            first, last = len(known) - len(fresh), len(known)
+            if last > len(self.facts):
+                self.facts = np.vstack([self.facts[:first], np.zeros((last + len(self.facts), 6))])
+            self.facts[first:last] = rows
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        if len(self.known) > 300_000:
+            self.known.clear()
+        split = [t.split() if t else [] for t in texts]
+        count = np.array([len(w) for w in split])
+        ids, owner = self.facts_of([w for words in split for w in words]), np.repeat(np.arange(len(texts)), count)
+        facts, n = self.facts[ids], np.maximum(count, 1)
+        bags = np.bincount(owner * BUCKETS + facts[:, 0].astype(np.int64), minlength=len(texts) * BUCKETS).reshape(-1, BUCKETS)
+        letters, upper, digits, size, shouted = (np.bincount(owner, facts[:, k], len(texts)) for k in range(1, 6))
+        unlike = np.bincount(np.unique(owner * (len(self.known) + 1) + ids) // (len(self.known) + 1), minlength=len(texts))
+        c = np.array([max(len(t or ""), 1) for t in texts])
+        lines = [(t or "").split("\n") for t in texts]
+        alike = np.array([len(set(x)) / len(x) for x in lines])
+        shapes = [np.log1p(count), unlike / n, letters / c, upper / c, digits / c, (size - letters - digits) / c, alike, np.minimum(letters / n, 20.0), shouted / n]
+        return np.hstack([np.sqrt(bags / n[:, None]), np.stack(shapes, 1)])
 
 
 def metadata_view(lang: str | None, source: str | None, n_chars) -> list[float]:
@@ -126,17 +141,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def views(frame: pd.DataFrame, content: ContentView) -> tuple[np.ndarray, np.ndarray]:
     text = [t if isinstance(t, str) else None for t in frame["text"]]
-    return np.array([content(t) for t in text]).reshape(len(frame), -1), np.array([metadata_view(*r) for r in zip(frame["lang"], frame["source"], frame["n_chars"], strict=True)]).reshape(len(frame), -1)
+    return content(text), np.array([metadata_view(*r) for r in zip(frame["lang"], frame["source"], frame["n_chars"], strict=True)]).reshape(len(frame), -1)
 
 
 def mapped(docs: DataFrame, make, schema: str) -> DataFrame:
-    """``make(ids, content view, metadata view)`` of 500 rows at a time; ids stay text, so that large ones stay whole."""
+    """``make(rows, content view, metadata view)`` of 100 rows at a time; ids stay text, so that large ones stay whole."""
 
     def run(batches):
         content = ContentView()
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
+            for at in range(0, len(pdf), 100):
+                part = pdf.iloc[at : at + 100]
                 yield make(part, *views(part, content))
         release()
 
