@@ -10,7 +10,8 @@ more than sin(angle). So all links are found in few dimensions, and a link is mi
 probability of about 3e-7 for each plane in many, unless its direction was chosen to miss.
 
 Cells are cut into blocks, and pairs of blocks are compared by a matrix product. A pair of blocks
-gives counts of links and, for each vector, the smallest partner, never all pairs.
+gives counts of links and, for each vector, the smallest vector that its links there reach, never all
+pairs. (Its smallest partner would not do: two groups may meet in a link that is neither end's smallest.)
 """
 
 from __future__ import annotations
@@ -60,6 +61,19 @@ def spherical_kmeans(rows: np.ndarray, k: int, rounds: int, seed: int) -> np.nda
     return centres
 
 
+def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of ``n`` nodes a node that stands for its component under the edges ``a``, ``b``."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
 def near_duplicates(df: DataFrame, s: Settings = Settings()) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row.
 
@@ -133,12 +147,15 @@ def near_duplicates(df: DataFrame, s: Settings = Settings()) -> DataFrame:
             low, high = np.where(ids[a] < ids[b2], a, b2), np.where(ids[a] < ids[b2], b2, a)
             lead[own, other] = at[high] & ~there[high, home[low]]
         hit &= lead
-        out = []
-        for own, other, h in ((first, second, hit), *(((second, first, hit.T),) if i != j else ())):
-            low = np.where(h, ids[other][None, :], np.iinfo(np.int64).max).min(1) if len(other) else np.full(len(own), np.iinfo(np.int64).max)
-            out.append(pd.DataFrame({"id": ids[own], "links": (h * m[other][None, :]).sum(1), "low": low}))
-        out = pd.concat(out)
-        return out[out["links"] > 0]
+        links = np.zeros(len(ids), dtype=np.int64)
+        links[first] += hit @ m[second]
+        if i != j:
+            links[second] += hit.T @ m[first]
+        own, other = np.nonzero(hit)
+        root = local_components(len(ids), first[own], second[other])
+        low = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(low, root, ids)
+        return pd.DataFrame({"id": ids, "links": links, "low": low[root]})[links > 0]
 
     met = scratch.keep(placed.groupBy("cell", "i", "j").applyInPandas(compare, "id long, links long, low long"))
     counts = met.groupBy("id").agg(F.sum("links").alias("links"))
