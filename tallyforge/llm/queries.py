@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and ``pipeline``: operators of this subpackage over whole tables."""
+"""The queries op1_ to op13_ and ``pipeline``: operators of this subpackage over whole tables."""
 
 from __future__ import annotations
 
@@ -94,6 +94,24 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.token_files import token_file_digests
+
+    return token_file_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end=2)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.merkle import verify
+
+    return verify(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyforge.llm.spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_mix_sources": op2_mix_sources,
@@ -105,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_token_files": op11_token_files,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
