@@ -12,48 +12,50 @@ from tallyforge.operators.contamination import tokens
 MATRIX_BYTES = 64_000_000
 
 
+def _unit(rows: pd.Series) -> np.ndarray:
+    """Vectors of length 1, scaled before they are squared."""
+    x = np.stack(rows.to_list()).astype(float)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def dense_top1(items: DataFrame, references: DataFrame, threshold: float = 0.85) -> DataFrame:
     """id, max_cosine, ref_id and contaminated of every item with a usable vector.
 
     Both have columns id (long) and v (array of doubles). Vectors that are null or zero, or have
-    null or non-finite parts, match nothing; the smallest reference wins a tie. Items are held in
-    matrices of bounded size, references are read once for each; nothing is emitted for a pair.
+    null or non-finite parts, match nothing; the smallest reference wins a tie. Items are dealt into
+    blocks of at most about MATRIX_BYTES by a hash of their id, with one pass over the references for
+    each; a task keeps the best of each item over all its references and gives it once.
     """
-    spark, width = items.sparkSession, references.select(F.max(F.size("v"))).first()[0] or 0
+    width = references.select(F.max(F.size("v"))).first()[0] or 0
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = F.coalesce(usable, F.lit(False)) & (F.size("v") == width)
-    items, references = items.where(usable), references.where(usable)
-    most, out, part = max(1, MATRIX_BYTES // (8 * max(width, 1))), None, []
+    items, references = items.where(usable).select("id", "v"), references.where(usable).select("id", "v")
+    blocks = -(-items.count() * 8 * max(width, 1) // MATRIX_BYTES) or 1
 
-    def one_pass(rows: list) -> DataFrame:
-        ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        x /= np.abs(x).max(1, keepdims=True)
-        x /= np.sqrt((x * x).sum(1, keepdims=True))
+    def one_pass(block: pd.DataFrame) -> DataFrame:
+        ids, x = block["id"].to_numpy(), _unit(block["v"]) if len(block) else None
 
         def best(batches):
-            for pdf in batches:
+            top, ref = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
+            for pdf in batches if len(ids) else ():
                 for at in range(0, len(pdf), 1000):
-                    y = np.stack(pdf["v"].iloc[at : at + 1000].to_list())
-                    y = y / np.abs(y).max(1, keepdims=True)
-                    y = y / np.sqrt((y * y).sum(1, keepdims=True))
-                    ref = pdf["id"].iloc[at : at + 1000].to_numpy()
-                    order = np.argsort(ref, kind="stable")
-                    dots = np.round(x @ y[order].T, 12)
-                    at_best = dots.argmax(1)
-                    yield pd.DataFrame({"id": ids, "cosine": dots[np.arange(len(ids)), at_best], "ref_id": ref[order][at_best]})
-
-        found = references.select("id", "v").mapInPandas(best, "id long, cosine double, ref_id long")
+                    part = pdf.iloc[at : at + 1000].sort_values("id", kind="stable")
+                    dots = np.round(x @ _unit(part["v"]).T, 12)
+                    place = dots.argmax(1)
+                    value, own = dots[np.arange(len(ids)), place], part["id"].to_numpy()[place]
+                    better = (value > top) | ((value == top) & (own < ref))
+                    top[better], ref[better] = value[better], own[better]
+            seen = top > -np.inf
+            yield pd.DataFrame({"id": ids[seen], "cosine": top[seen], "ref_id": ref[seen]})
+
+        found = references.mapInPandas(best, "id long, cosine double, ref_id long")
         return found.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("ref_id")).alias("low"))).alias("top"))
 
-    for row in items.select("id", "v").toLocalIterator():
-        part.append(row)
-        if len(part) == most:
-            out = one_pass(part) if out is None else out.unionByName(one_pass(part))
-            part = []
-    if part or out is None:
-        empty = spark.createDataFrame([], "id long, top struct<cosine:double,low:long>")
-        made = one_pass(part) if part else empty
-        out = made if out is None else out.unionByName(made)
+    out = None
+    for k in range(blocks):
+        part = one_pass(items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).toPandas())
+        out = part if out is None else out.unionByName(part)
     return out.select("id", F.round("top.cosine", 4).alias("max_cosine"), (-F.col("top.low")).alias("ref_id"), (F.col("top.cosine") >= threshold).alias("contaminated"))
 
 

@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Bits of the filter of the items' grams: a fixed size, at which five million grams let one in fifty of others through.
+FILTER_BITS = 1 << 26
+#: Words that are looked at together in Python.
+PIECE = 1_000_000
+
 
 def tokens(text: Column) -> Column:
     """Lower-case words between white space, without empty ones."""
@@ -22,13 +32,88 @@ def _exploded(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.select(key, F.explode(F.element_at(made, 1)).alias("gram"))
 
 
+def hashed(text: Column) -> Column:
+    """The words as 64-bit hashes."""
+    return F.transform(tokens(text), lambda w: F.xxhash64(w))
+
+
+def pieces(lists: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, lengths, values) of runs of rows with about PIECE values; null lists are empty."""
+    size = np.array(pc.fill_null(pc.list_value_length(lists), 0), dtype=np.int64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(size):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        yield at, size[at:stop], lists.slice(at, stop - at).flatten().to_numpy(zero_copy_only=False)
+        at = stop
+
+
+def gram_bits(size: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, bits) of every run of ``n`` hashed words inside a row; ``bits`` has two places of the filter each."""
+    many = max(len(values) - n + 1, 0)
+    owner = np.repeat(np.arange(len(size)), size)
+    at = np.flatnonzero(owner[:many] == owner[n - 1 :]) if many else np.zeros(0, dtype=np.int64)
+    total = np.zeros(len(at), dtype=np.uint64)
+    for k in range(n):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + values[at + k].view(np.uint64)
+    total ^= total >> np.uint64(29)
+    total *= np.uint64(0xBF58476D1CE4E5B9)
+    mask = np.uint64(FILTER_BITS - 1)
+    bits = np.stack([total >> np.uint64(38), total >> np.uint64(8)]) & mask
+    first = np.cumsum(size) - size
+    return owner[at], at - first[owner[at]], bits.astype(np.int64)
+
+
+def gram_filter(items: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the items' grams, of FILTER_BITS bits however many grams there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, size, values in pieces(batch.column(0)):
+                _, _, bits = gram_bits(size, values, n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(bits))], names=["bit"])
+
+    rows = items.select(hashed(F.col("text")).alias("h")).mapInArrow(run, "bit bigint")
+    found = rows.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("byte")).toArrow()
+    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    out[found["at"].to_numpy()] = found["byte"].to_numpy()
+    return out
+
+
+def filtered_places(bits: np.ndarray, n: int) -> Callable[[Column], Column]:
+    """A function from hashed words to the places (from 1) of the grams that pass the filter."""
+
+    @F.arrow_udf("array<int>")
+    def places(lists: pa.Array) -> pa.Array:
+        out = []
+        for _, size, values in pieces(lists):
+            row, place, at = gram_bits(size, values, n)
+            hit = np.ones(len(row), dtype=bool)
+            for b in at:
+                hit &= (bits[b >> 3] >> (b & 7) & 1).astype(bool)
+            ends = np.append(0, np.cumsum(np.bincount(row[hit], minlength=len(size))))
+            out.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[hit] + 1, pa.int32())))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+
+    return places
+
+
+def filtered_grams(docs: DataFrame, bits: np.ndarray, n: int) -> DataFrame:
+    """(doc_id, gram): the distinct grams of each document that pass the filter, as strings."""
+    found = docs.select("doc_id", "text", filtered_places(bits, n)(hashed(F.col("text"))).alias("places")).where("size(places) > 0")
+    texts = F.transform(F.array(tokens(F.col("text"))), lambda w: F.array_distinct(F.transform("places", lambda i: F.array_join(F.slice(w, i, n), " "))))
+    return found.select("doc_id", F.explode(F.element_at(texts, 1)).alias("gram"))
+
+
 def containment(items: DataFrame, docs: DataFrame, n: int = 8) -> DataFrame:
     """item_id, doc_id and the share of the item's grams that the document holds, where there is any.
 
-    Only grams that an item has survive the join, so that the pairs that are counted are real hits.
+    A filter of fixed size keeps the documents' other grams from the shuffle; those that pass are
+    joined as strings, so what it lets through by chance is not counted. Null, empty and short texts
+    have no grams. Other columns aren't read.
     """
     left = _exploded(items, "item_id", n)
-    right = _exploded(docs, "doc_id", n)
+    right = filtered_grams(docs, gram_filter(items, n), n)
     size = left.groupBy("item_id").agg(F.count("*").alias("grams"))
     hits = left.join(right, "gram").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
     return hits.join(size, "item_id").select("item_id", "doc_id", (F.col("hits") / F.col("grams")).alias("share"))

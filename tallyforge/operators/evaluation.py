@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tallyforge.operators import cosine_index
 from tallyforge.operators.contamination import WORDS, _CONTAIN, containment, tokens
 
 # Patterns that decide the scores, searched without regard to case.
@@ -141,10 +142,10 @@ def cosines(items: DataFrame, docs: DataFrame) -> DataFrame:
 def tfidf_cosine_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best document of each item by cosine of TF-IDF weights, the smallest id in a tie, else -1."""
     items, docs = spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark.read.parquet(f"{sf_dir}/documents.parquet")
-    close = F.round("cosine", 4)
-    best = cosines(items, docs).groupBy("item_id").agg(F.max(F.struct(close.alias("cosine"), (-F.col("doc_id").cast("long")).alias("low"))).alias("top"))
-    out = items.select(F.col("item_id").cast("string").alias("item_id")).join(best, "item_id", "left")
-    return out.select("item_id", F.coalesce("top.cosine", F.lit(0.0)).alias("max_cosine"), F.coalesce(-F.col("top.low"), F.lit(-1)).alias("doc_id"), (F.coalesce("top.cosine", F.lit(0.0)) >= 0.85).alias("contaminated"))
+    best = cosine_index.top1(items, docs).select("item_id", F.round("cosine", 4).alias("cosine"), F.col("doc_id").cast("long").alias("doc_id"))
+    out = items.select("item_id").join(best, "item_id", "left")
+    cosine = F.coalesce("cosine", F.lit(0.0))
+    return out.select(F.col("item_id").cast("string").alias("item_id"), cosine.alias("max_cosine"), F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), (cosine >= 0.85).alias("contaminated"))
 
 
 def verdicts(items: DataFrame, docs: DataFrame) -> DataFrame:
@@ -152,12 +153,11 @@ def verdicts(items: DataFrame, docs: DataFrame) -> DataFrame:
 
     Values are rounded after they are compared.
     """
-    key = F.col("item_id").cast("string").alias("item_id")
-    grams = containment(items, docs).groupBy(key).agg(F.max("share").alias("share"))
-    close = cosines(items, docs).groupBy("item_id").agg(F.max("cosine").alias("cosine"))
-    rows = items.select(key).join(grams, "item_id", "left").join(close, "item_id", "left").na.fill(0.0, ["share", "cosine"])
+    grams = containment(items, docs).groupBy("item_id").agg(F.max("share").alias("share"))
+    close = cosine_index.top1(items, docs).select("item_id", "cosine")
+    rows = items.select("item_id").join(grams, "item_id", "left").join(close, "item_id", "left").na.fill(0.0, ["share", "cosine"])
     exact, near = F.col("share") >= 1.0, F.col("cosine") >= 0.85
-    return rows.select("item_id", F.round("share", 4).alias("max_ngram"), F.round("cosine", 4).alias("max_cosine"), exact.alias("ngram_flag"), near.alias("cosine_flag"), (exact | near).alias("contaminated"))
+    return rows.select(F.col("item_id").cast("string").alias("item_id"), F.round("share", 4).alias("max_ngram"), F.round("cosine", 4).alias("max_cosine"), exact.alias("ngram_flag"), near.alias("cosine_flag"), (exact | near).alias("contaminated"))
 
 
 def contamination_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
