@@ -27,6 +27,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,10 @@ TOGETHER, STRETCHES = 16, 64
 LOW = np.uint64(1 << 31)
 SHIFT, WORD = np.uint64(BITS), np.uint64(32)
 MASK = np.uint64((1 << 32) - 1)
-#: Pieces of text remembered by one task at most, and the longest of them in characters.
-MEMORY_ENTRIES, MEMORY_CHARS = 300_000, 64
+#: Pieces of text remembered by one worker at most, and the longest of them in characters.
+MEMORY_ENTRIES, MEMORY_CHARS = 400_000, 64
+#: New pieces that the library is given as one text.
+JOINED = 1000
 
 BLOCKS = """shard int, block int, first bigint, n int, words binary, states binary, places binary, words_crc bigint, ids_crc bigint,
 docs array<struct<number: bigint, id: {id}, at: int, n: int, before: bigint, total: bigint>>"""
@@ -55,8 +59,9 @@ class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which meets each piece of text once.
 
     No token of a byte-level vocabulary goes from a character that isn't white space to one that
-    is, and what follows doesn't depend on what came before, so a text can be cut there. Texts with
-    white space that libraries disagree on are encoded in one piece.
+    is, or from a letter to a stop or comma, and what follows doesn't depend on what came before,
+    so a text can be cut there. Texts with white space that libraries disagree on are encoded in
+    one piece. New pieces that such cuts divide on both sides go to the library many at a time.
     """
 
     def __init__(self, path: str):
@@ -65,38 +70,68 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.cut = re.compile(r"\s*\S+|\s+\Z").findall
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+        self.cut = re.compile(rf"\s*[{letters}]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+\Z").findall
         self.odd = re.compile(r"[^\S \t\n\r\v\f]").search
+        #: bytes that each id stands for: a letter of such a vocabulary is a byte, special tokens are text
+        self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        for i, token in self.library.get_added_tokens_decoder().items():
+            self.size[i] = len(token.content.encode())
         self.known: dict[str, bytes] = {}
 
-    def fresh(self, pieces: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
+        inner = [p for p in pieces if p[0] in " \t\n\r\v\f" and p[-1] not in " \t\n\r\v\f"]
+        runs = [inner[i : i + JOINED] for i in range(0, len(inner), JOINED)]
+        out = {}
+        for run, found in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype=self.kind)
+            ends = np.cumsum([len(p.encode()) for p in run])
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(run, ((np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * self.kind.itemsize).tolist(), strict=True):
+                out[p], at = raw[at:end], end
+        outer = [p for p in pieces if p not in out]
+        for p, found in zip(outer, self.library.encode_batch_fast(outer, add_special_tokens=False), strict=True):
+            out[p] = np.array(found.ids, dtype=self.kind).tobytes()
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         known = self.known
-        parts = [[] if not t else [t] if self.odd(t) else self.cut(t) for t in texts]
-        new = list(set().union(*parts).difference(known))
-        known.update(zip(new, self.fresh(new), strict=True))
-        look = known.__getitem__
-        out = [b"".join(map(look, p)) for p in parts]
-        for p in new:
+        whole = {i: t for i, t in enumerate(texts) if t and self.odd(t)}
+        parts = [self.cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
+        missing: set[str] = set()
+        for part in parts:
+            missing.update(filterfalse(known.__contains__, part))
+        known.update(self.fresh(list(missing)))
+        out = [b"".join(map(known.__getitem__, part)) for part in parts]
+        for i, found in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
+            out[i] = np.array(found.ids, dtype=self.kind).tobytes()
+        for p in missing:
             if len(p) > MEMORY_CHARS:
                 del known[p]
         if len(known) > MEMORY_ENTRIES:
-            known.clear()
+            # what came first is what comes most often
+            self.known = dict(islice(known.items(), MEMORY_ENTRIES // 2))
         return out
 
 
+@cache
+def encoder(path: str) -> PieceEncoder:
+    """The encoder of a worker, which keeps the pieces it knows from task to task."""
+    return PieceEncoder(path)
+
+
 def token_ids(df: DataFrame, tokenizer: str, end: int, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and ``ids``: the packed ids of each whole text and the end id. Null texts are empty ones."""
     from tallyforge.llm.arrowtext import map_column
 
     def make():
-        encoder = PieceEncoder(tokenizer)
-        last = np.array([end], dtype=encoder.kind).tobytes()
-        return lambda texts: [pa.array([x + last for x in encoder.encode(texts)], pa.binary())]
+        own = encoder(tokenizer)
+        last = np.array([end], dtype=own.kind).tobytes()
+        return lambda texts: [pa.array([x + last for x in own.encode(texts)], pa.binary())]
 
     return map_column(df, text, T.StructType([T.StructField("ids", T.BinaryType())]), make, list(carry))
 
@@ -107,11 +142,13 @@ def id_counts(df: DataFrame, kind: np.dtype) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for value in batch.column(0):
-                more = np.bincount(np.frombuffer(value.as_buffer(), dtype=kind))
-                if len(more) > len(total):
-                    total = np.append(total, np.zeros(len(more) - len(total), dtype=np.int64))
-                total[: len(more)] += more
+            values = batch.column(0)
+            ends = np.frombuffer(values.buffers()[1], dtype=np.int32)[values.offset : values.offset + len(values) + 1]
+            raw = values.buffers()[2]
+            more = np.bincount(np.frombuffer(raw, dtype=np.uint8)[ends[0] : ends[-1]].view(kind)) if raw is not None and len(values) else total[:0]
+            if len(more) > len(total):
+                total = np.append(total, np.zeros(len(more) - len(total), dtype=np.int64))
+            total[: len(more)] += more
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -148,28 +185,33 @@ class Coder:
         self.freq, self.start = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64)
         self.freq[ids] = freq
         self.start[ids] = np.cumsum(freq) - freq
+        self.limit = self.freq << np.uint64(63 - BITS)
         self.symbol = np.repeat(ids, freq.astype(np.int64)).astype(np.uint32)
 
     def encode(self, rows: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
         """(words, states, places) of each row of ids; a later id is coded before an earlier one."""
         k, n = rows.shape
-        freq, start = self.freq[rows], self.start[rows]
-        if not freq.all():
+        steps = -(-n // LANES)
+        if not self.freq[rows].all():
             raise ValueError("an id without a frequency")
+        # by step, so that a step reads one stretch of memory
+        padded = np.zeros((k, steps * LANES), dtype=np.int64)
+        padded[:, :n] = rows
+        padded = np.ascontiguousarray(padded.reshape(k, steps, LANES).swapaxes(0, 1))
+        freq, start, limit = self.freq[padded], self.start[padded], self.limit[padded]
         state = np.full((k, LANES), LOW, dtype=np.uint64)
-        steps = -(-n // LANES)
         put: list[np.ndarray] = [None] * steps
         count = np.zeros((steps, k), dtype=np.int64)
         states = []
         for s in range(steps - 1, -1, -1):
-            f, c = freq[:, s * LANES : (s + 1) * LANES], start[:, s * LANES : (s + 1) * LANES]
-            x = state[:, : f.shape[1]]
-            full = x >= f << np.uint64(63 - BITS)
+            width = min(LANES, n - s * LANES)
+            x, f = state[:, :width], freq[s, :, :width]
+            full = x >= limit[s, :, :width]
             put[s] = (x[full] & MASK).astype("<u4")
             count[s] = full.sum(1)
             x = np.where(full, x >> WORD, x)
             q = x // f
-            state[:, : f.shape[1]] = (q << SHIFT) + (x - q * f) + c
+            state[:, :width] = (q << SHIFT) + (x - q * f) + start[s, :, :width]
             if s % SPAN == 0:
                 states.append(state.copy())
         # words lie by step, then block, then lane; each block takes its own in that order
@@ -309,7 +351,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int, key: str
     scratch = Scratch(spark, "tokens")
     coded = token_ids(docs.select(docs[key].alias("k"), docs[text].alias("t")), tokenizer, end, "t", ("k",))
     ids = scratch.keep(coded.withColumn("row", F.monotonically_increasing_id()))
-    kind = PieceEncoder(tokenizer).kind
+    kind = encoder(tokenizer).kind
     # as many rows as the vocabulary has ids
     table = frequencies({r["id"]: r["n"] for r in id_counts(ids, kind).collect()})
     spark.createDataFrame(sorted(table.items()), "id bigint, freq bigint").coalesce(1).write.parquet(f"{path}/table")
