@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyforge.operators import audits, contamination, evaluation, generation, invariants, probes, prospects, resampling, scorer, statistics, verdicts
+from tallyforge.operators import audits, contamination, evaluation, generation, invariants, probes, prospects, resampling, scorer, settings_scores, statistics, verdicts
 
-_PARTS = (contamination, statistics, evaluation, scorer, audits, resampling, invariants, probes, generation, prospects, verdicts)
+_PARTS = (contamination, statistics, evaluation, scorer, audits, resampling, invariants, probes, generation, prospects, verdicts, settings_scores)
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: text for part in _PARTS for name, text in part.ORACLES.items()}

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from tallyforge.functions.rules import Rules
+
 # Patterns that decide the scores, searched without regard to case.
 CERTAIN = [
     r"\bconfirmed\b.{0,60}roles?\b",
@@ -91,6 +93,12 @@ SHOUTING = r"[A-Z]{5,}"
 #: Highest score of each dimension.
 HIGHEST = {"signal_grounding": 3, "capacity_honesty": 3, "tone_preservation": 5, "consent_coordination": 3, "gap_framing": 3}
 
+#: The sections that settings name, with the values above.
+RULES = Rules({
+    "hedge_patterns": tuple(HEDGES), "interrogative_patterns": tuple(INTERROGATIVE), "escalation_patterns": tuple(ESCALATION),
+    "banned_phrases": tuple(BANNED), "bench_external_ban": ("bench",), "condescending_patterns": tuple(CONDESCENDING), "honest_patterns": tuple(HONEST),
+})
+
 
 def any_of(text: Column, patterns: list[str]) -> Column:
     return reduce(Column.__or__, [text.rlike("(?i)" + p) for p in patterns])
@@ -111,52 +119,75 @@ def keywords(behaviour: Column) -> Column:
     return F.slice(F.filter(words, lambda w: ~w.isin(STOP_WORDS)), 1, 3)
 
 
-def signal_score(text: Column, behaviours: Column) -> Column:
+def signal_score(text: Column, behaviours: Column, rules: Rules = RULES) -> Column:
     """0 to 3 from hedges, questions and the first of the expected ``behaviours`` (an array of strings)."""
     low = F.lower(text)
     met = F.coalesce(F.exists(keywords(F.get(behaviours, 0)), lambda k: F.contains(low, k)), F.lit(False))
-    points = _point(any_of(text, HEDGES)) + _point(any_of(text, INTERROGATIVE)) + _point(met)
+    points = _point(rules.any_of(text, "hedge_patterns")) + _point(rules.any_of(text, "interrogative_patterns")) + _point(met)
     return scored(text, F.when(any_of(text, CERTAIN), 0).otherwise(points))
 
 
-def capacity_score(text: Column, role: Column, behaviours: Column, roles: Column) -> Column:
-    """0 to 3. ``roles`` is an array of (stack, count); null and empty stacks are no names."""
+def signal_trouble(text: Column, rules: Rules = RULES) -> Column:
+    """The broken pattern that a signal score meets, else null: all hedges are tried, questions until one is found."""
+    met = F.coalesce(rules.trouble(text, "hedge_patterns", True), rules.trouble(text, "interrogative_patterns"))
+    return F.when(~any_of(text, CERTAIN), met)
+
+
+def _stacks(text: Column, role: Column, behaviours: Column, roles: Column) -> tuple[Column, Column]:
+    """Names of the relevant stacks, and whether the text commits to people that there aren't."""
     hint = F.lower(F.concat(F.coalesce(role, F.lit("")), F.lit(" "), F.coalesce(F.array_join(behaviours, " "), F.lit(""))))
     special = reduce(Column.__or__, [F.contains(hint, F.lit(k)) for k in SPECIALIST])
     roles = F.coalesce(roles, F.array().cast("array<struct<stack:string,count:bigint>>"))
     names = F.filter(F.transform(roles, lambda r: F.lower(r["stack"])), lambda n: F.coalesce(n, F.lit("")) != "")
     relevant = F.filter(names, lambda n: F.contains(hint, n) | ~special)
     total = F.aggregate(roles, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["count"], F.lit(0)))
-    commits = text.rlike("(?i)" + HARD_COMMIT) & ((total == 0) | (F.size(relevant) == 0))
+    return relevant, text.rlike("(?i)" + HARD_COMMIT) & ((total == 0) | (F.size(relevant) == 0))
+
+
+def capacity_score(text: Column, role: Column, behaviours: Column, roles: Column, rules: Rules = RULES) -> Column:
+    """0 to 3. ``roles`` is an array of (stack, count); null and empty stacks are no names."""
+    relevant, commits = _stacks(text, role, behaviours, roles)
     named = F.exists(relevant, lambda n: F.contains(F.lower(text), n))
-    return scored(text, F.when(commits, 0).otherwise(_point(any_of(text, ESCALATION), 2) + _point(named)))
+    return scored(text, F.when(commits, 0).otherwise(_point(rules.any_of(text, "escalation_patterns"), 2) + _point(named)))
 
 
-def tone_blocked(text: Column) -> Column:
+def capacity_trouble(text: Column, role: Column, behaviours: Column, roles: Column, rules: Rules = RULES) -> Column:
+    return F.when(~_stacks(text, role, behaviours, roles)[1], rules.trouble(text, "escalation_patterns"))
+
+
+def tone_banned(text: Column, rules: Rules = RULES) -> Column:
+    return rules.phrase(text, "banned_phrases") | rules.word(text, "bench_external_ban")
+
+
+def tone_blocked(text: Column, rules: Rules = RULES) -> Column:
     """Whether a hard gate of the tone holds: a banned phrase or word, or a condescending pattern."""
-    low = F.lower(text)
-    banned = reduce(Column.__or__, [F.contains(low, F.lit(p.lower())) for p in BANNED])
-    return banned | any_of(text, [BANNED_WORD, *CONDESCENDING])
+    return tone_banned(text, rules) | rules.any_of(text, "condescending_patterns")
+
+
+def tone_trouble(text: Column, rules: Rules = RULES) -> Column:
+    """The broken pattern that a tone score meets; caveats are only looked for where no gate holds."""
+    soft = F.when(~tone_blocked(text, rules), rules.trouble(text, "honest_patterns"))
+    return F.coalesce(F.when(~tone_banned(text, rules), rules.trouble(text, "condescending_patterns")), soft)
 
 
-def tone_soft(text: Column) -> Column:
+def tone_soft(text: Column, rules: Rules = RULES) -> Column:
     """1 to 5: few fillers, no superlative, a caveat, no run of capitals, and one point for all."""
     words = F.greatest(F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), F.lit(1))
     few = F.regexp_count(text, F.lit("(?i)" + FILLERS)) / words < 0.03
-    return _point(few) + _point(~any_of(text, [SUPERLATIVES])) + _point(any_of(text, HONEST)) + _point(~text.rlike(SHOUTING)) + 1
+    return _point(few) + _point(~any_of(text, [SUPERLATIVES])) + _point(rules.any_of(text, "honest_patterns")) + _point(~text.rlike(SHOUTING)) + 1
 
 
-def tone_score(text: Column, judged: Column | None = None) -> Column:
+def tone_score(text: Column, judged: Column | None = None, rules: Rules = RULES) -> Column:
     """0 to 5. A score ``judged`` elsewhere takes the place of the soft rules where it isn't null."""
-    soft = tone_soft(text) if judged is None else F.coalesce(judged.cast("int"), tone_soft(text))
-    return scored(text, F.when(tone_blocked(text), 0).otherwise(soft))
+    soft = tone_soft(text, rules) if judged is None else F.coalesce(judged.cast("int"), tone_soft(text, rules))
+    return scored(text, F.when(tone_blocked(text, rules), 0).otherwise(soft))
 
 
-def task_error(dimension: Column, text: Column) -> Column:
+def task_error(dimension: Column, text: Column, known: tuple[str, ...] = tuple(HIGHEST)) -> Column:
     """Why a task has no score; null where it has one."""
     return (
         F.when(F.coalesce(dimension, F.lit("")) == "", "missing_dimension")
-        .when(~dimension.isin(*HIGHEST), F.concat(F.lit("unknown_dimension: "), dimension))
+        .when(~dimension.isin(*known), F.concat(F.lit("unknown_dimension: "), dimension))
         .when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), "empty_candidate")
     )
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tallyforge.functions.rules import Rules
 from tallyforge.operators import cosine_index
 from tallyforge.operators.contamination import WORDS, _CONTAIN, containment, tokens
 
@@ -48,17 +49,31 @@ def _any(text: Column, patterns: list[str]) -> Column:
     return reduce(Column.__or__, [text.rlike("(?i)" + p) for p in patterns])
 
 
-def consent_score(text: Column) -> Column:
+#: The sections that settings name, with the values above.
+RULES = Rules({"consent_patterns": tuple(CONSENT), "accusatory_patterns": tuple(ACCUSING), "question_framing_patterns": tuple(ASKING)})
+
+
+def consent_score(text: Column, rules: Rules = RULES) -> Column:
     """0 to 3; null for blank texts, which have no score."""
-    asks = _any(text, CONSENT)
+    asks = rules.any_of(text, "consent_patterns")
     points = F.when(asks, 2).otherwise(0) + F.when(_any(text, [OTHER_TIMES]), 1).otherwise(0)
     return F.when(text.rlike(r"\S"), F.when(_any(text, [BOOKED]) & ~asks, 0).otherwise(points))
 
 
-def gap_score(text: Column) -> Column:
+def consent_trouble(text: Column, rules: Rules = RULES) -> Column:
+    return rules.trouble(text, "consent_patterns")
+
+
+def gap_score(text: Column, rules: Rules = RULES) -> Column:
     """0 to 3; null for blank texts, which have no score."""
-    points = F.when(_any(text, ASKING), 2).otherwise(0) + F.when(_any(text, [HOSTILE]), 0).otherwise(1)
-    return F.when(text.rlike(r"\S"), F.when(_any(text, [*ACCUSING, NET_ACCUSING]), 0).otherwise(points))
+    points = F.when(rules.any_of(text, "question_framing_patterns"), 2).otherwise(0) + F.when(_any(text, [HOSTILE]), 0).otherwise(1)
+    return F.when(text.rlike(r"\S"), F.when(rules.any_of(text, "accusatory_patterns") | _any(text, [NET_ACCUSING]), 0).otherwise(points))
+
+
+def gap_trouble(text: Column, rules: Rules = RULES) -> Column:
+    """The broken pattern that a gap score meets; questions are only looked for where nothing accuses."""
+    blamed = rules.any_of(text, "accusatory_patterns") | _any(text, [NET_ACCUSING])
+    return F.coalesce(rules.trouble(text, "accusatory_patterns"), F.when(~blamed, rules.trouble(text, "question_framing_patterns")))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

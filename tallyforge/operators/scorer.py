@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyforge.functions import scoring as s
-from tallyforge.operators.evaluation import _CONSENT, _GAP, _sql, _sql_any, consent_score, gap_score
+from tallyforge.functions.rules import Rules, merged, rules_of
+from tallyforge.operators.evaluation import _CONSENT, _GAP, RULES, _sql, _sql_any, consent_score, consent_trouble, gap_score, gap_trouble
 
 #: (dimension, text, first expected behaviour, open role, stack, count): the tables' invented words
 #: reach few branches of the scores.
@@ -29,24 +34,46 @@ FIXTURES = [
 _TYPES = "dimension string, text string, behaviour string, role string, stack string, count bigint"
 
 
-def score_tasks(tasks: DataFrame, threshold: float = 0.7) -> DataFrame:
+@dataclass(frozen=True)
+class Dimension:
+    """The highest score of a dimension, and how score and trouble follow from the columns of a task and the rules."""
+
+    highest: int
+    score: Callable[[Rules], Column]
+    trouble: Callable[[Rules], Column]
+
+
+_CAPACITY_OF = ("text", "role", "behaviours", "roles")
+
+#: The dimensions that tasks may name. A caller passes its own dictionary to add or replace some.
+DIMENSIONS: dict[str, Dimension] = {
+    "signal_grounding": Dimension(3, lambda r: s.signal_score(F.col("text"), F.col("behaviours"), r), lambda r: s.signal_trouble(F.col("text"), r)),
+    "capacity_honesty": Dimension(3, lambda r: s.capacity_score(*map(F.col, _CAPACITY_OF), r), lambda r: s.capacity_trouble(*map(F.col, _CAPACITY_OF), r)),
+    "tone_preservation": Dimension(5, lambda r: s.tone_score(F.col("text"), rules=r), lambda r: s.tone_trouble(F.col("text"), r)),
+    "consent_coordination": Dimension(3, lambda r: consent_score(F.col("text"), r), lambda r: consent_trouble(F.col("text"), r)),
+    "gap_framing": Dimension(3, lambda r: gap_score(F.col("text"), r), lambda r: gap_trouble(F.col("text"), r)),
+}
+DEFAULT_RULES = merged(s.RULES, RULES)
+
+
+def score_tasks(tasks: DataFrame, settings: DataFrame | Rules | None = None, threshold: float | Column = 0.7, dimensions: dict[str, Dimension] | None = None) -> DataFrame:
     """``tasks`` with error, score, norm and passed.
 
     Columns read: dimension, text, behaviours (array), role, roles (array of stack and count). Tasks
-    with an error have no score and don't pass.
+    with an error have no score and don't pass. ``settings`` is a table (section, place, entry), as
+    ``read_settings`` gives it, or compiled rules; sections that it doesn't name are empty then.
+    Without it the built-in values hold. A task whose score meets a pattern that can't be compiled
+    has the error ``bad_pattern: section: pattern``. ``threshold`` may be a column; null means 0.7.
     """
+    known = dimensions or DIMENSIONS
+    rules = DEFAULT_RULES if settings is None else settings if isinstance(settings, Rules) else rules_of(settings)
     text, kind = F.col("text"), F.col("dimension")
-    score = (
-        F.when(kind == "signal_grounding", s.signal_score(text, F.col("behaviours")))
-        .when(kind == "capacity_honesty", s.capacity_score(text, F.col("role"), F.col("behaviours"), F.col("roles")))
-        .when(kind == "tone_preservation", s.tone_score(text))
-        .when(kind == "consent_coordination", consent_score(text))
-        .when(kind == "gap_framing", gap_score(text))
-    )
-    highest = F.element_at(F.create_map(*[F.lit(x) for kv in s.HIGHEST.items() for x in kv]), kind)
-    rows = tasks.withColumn("error", s.task_error(kind, text)).withColumn("score", score)
-    rows = rows.withColumn("norm", F.round(F.col("score") / highest, 4))
-    return rows.withColumn("passed", F.coalesce(F.round("norm", 2) >= round(threshold, 2), F.lit(False)))
+    pick = lambda get, type_="int": reduce(lambda out, kv: F.when(kind == kv[0], get(kv[1])).otherwise(out), known.items(), F.lit(None).cast(type_))
+    rows = tasks.withColumn("error", F.coalesce(s.task_error(kind, text, tuple(known)), pick(lambda d: d.trouble(rules), "string")))
+    rows = rows.withColumn("score", F.when(F.col("error").isNull(), pick(lambda d: d.score(rules))))
+    rows = rows.withColumn("norm", F.round(F.col("score") / pick(lambda d: F.lit(d.highest)), 4))
+    limit = F.round(F.coalesce(threshold if isinstance(threshold, Column) else F.lit(float(threshold)), F.lit(0.7)), 2)
+    return rows.withColumn("passed", F.coalesce(F.round("norm", 2) >= limit, F.lit(False)))
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:

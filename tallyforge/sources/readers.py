@@ -41,11 +41,11 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(f"{TASK}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("pathGlobFilter", "*.json").json(path)
     rows = rows.withColumn("file", F.col("_metadata.file_name"))
     names = [c for c in rows.columns if c not in ("file", "_corrupt")]
-    return rows.select("file", *names, F.when(F.col("_corrupt").isNotNull(), "invalid_json").alias("error"))
+    return rows.select("file", *names, F.when(F.col("_corrupt").isNotNull(), "invalid_json").alias("error")).orderBy("file")
 
 
 def read_partitions(spark: SparkSession, root: str, names: tuple[str, ...] = ("train", "dev", "held_out")) -> DataFrame:
-    """Tasks of the partitions that are there, in this order of names, with ``partition`` and ``rank``."""
+    """Tasks of the partitions that are there, in this order of names and by file name, with ``partition`` and ``rank``."""
     out = None
     for rank, name in enumerate(names):
         if _exists(spark, f"{root}/{name}"):
@@ -53,7 +53,7 @@ def read_partitions(spark: SparkSession, root: str, names: tuple[str, ...] = ("t
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(f"no partition below {root}")
-    return out
+    return out.orderBy("rank", "file")
 
 
 def canonical_json(text: Column) -> Column:

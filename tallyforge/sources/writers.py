@@ -27,3 +27,15 @@ def text_table(rows: DataFrame, most: int = 100) -> str:
     width = [max(len(r[i]) for r in cells) for i in range(len(rows.columns))]
     lines = ["  ".join(v.ljust(w) for v, w in zip(r, width, strict=True)).rstrip() for r in cells]
     return "\n".join([lines[0], "-" * len(lines[0]), *lines[1:], *(["..."] if len(found) > most else [])])
+
+
+def write_lines(rows: DataFrame, path: str, order: str, line: str) -> None:
+    """``line`` of all rows, in this order, as one text file: for files that people read, which have an order."""
+    rows.orderBy(order).select(line).coalesce(1).write.text(path)
+
+
+def write_settings(settings: DataFrame, path: str) -> None:
+    """Rows (section, place, entry) as a Markdown file: a heading for each section, its entries in order."""
+    heads = settings.select("section").distinct().select("section", F.lit(-1).cast("long").alias("place"), F.concat(F.lit("## "), F.col("section")).alias("line"))
+    lines = heads.unionByName(settings.select("section", "place", F.col("entry").alias("line")))
+    write_lines(lines.select(F.struct("section", "place").alias("at"), "line"), path, "at", "line")
