@@ -3,14 +3,17 @@
 Each source's words are laid end to end, document after document, and packed into blocks of a fixed
 length. Sources with more weight than words are passed over up to ``passes`` times; what they can't
 fill is shared by weight among the rest. The output is a numbered row of slots, a block each, cut
-into shards. Every shard's counts of slots by source are a multinomial draw by stratified uniforms:
-of N slots, each gets one of the N equal strata of 0 to 1 by a pseudorandom permutation, and the
-source in whose range of cumulated targets the stratum lies. Any one slot is of a source with the
-probability of its target, a shard's counts vary as a draw without replacement does, and over all
-shards each source meets its target. The draw is made from the source's side, stratum by stratum,
-which is the same table (``shard_counts`` has the counts). A source's slots go through pseudorandom
-permutations of its block numbers, one permutation for each pass, and slots and blocks are joined by
-source and block number (``mixed_shards`` has the blocks that come out).
+into shards. For every shard the number of its slots of each source is drawn first
+(``shard_counts``): a multinomial draw by stratified uniforms over the slots of ``DRAWN`` shards, in
+which each slot has one of as many equal strata of 0 to 1 by a pseudorandom permutation, a uniform
+number in it, and the source in whose range of cumulated targets that number lies. So any slot is of a
+source with the probability of its target, a shard's counts vary as a draw without replacement does,
+and those of a group of shards are off what is expected by less than two slots a source. How much is
+taken of a source, and of each document, follows from the drawn counts of all shards: the slots of a
+source are numbered shard after shard, the numbers go through pseudorandom permutations of its
+blocks, one for each pass, and slots and blocks are joined by source and block number.
+``mixed_shards`` has the blocks that come out, ``mix_digest`` and ``mixed_documents`` what is taken of
+each document. A slot that is drawn beyond the last pass of a source stays empty.
 
 Nothing depends on how rows are partitioned, so reruns agree. Running sums are taken in two levels
 (``CHUNKS`` parts of each source, then the parts' totals), so that a source that holds most rows is
@@ -25,8 +28,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Parts into which the documents of a source are dealt for running sums.
 CHUNKS = 1024
-#: Slots made by one row of the slot table before they are dealt out.
-SLOT_RUN = 4096
+#: Shards of a source whose counts are summed by one window.
+SHARD_RUN = 1024
+#: Shards that are drawn together.
+DRAWN = 64
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -83,7 +88,7 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row a source: its size, its target in words, its blocks, and its range of slots.
+    """One row a source: its rank, its size, its target in words, its blocks, and its range of slots.
 
     Only totals by source meet in one task, a row a source.
     """
@@ -106,7 +111,8 @@ def targets(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
     by = by.withColumn("slots", F.least(slots, F.col("blocks") * mix.passes))
     ordered = Window.orderBy(F.col("source").isNull(), "source")
     first = F.coalesce(F.sum("slots").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.select("skey", "source", "source_size", "target", "blocks", "slots", first.alias("first_slot"), F.sum("slots").over(whole).alias("all_slots"))
+    rank = (F.row_number().over(ordered) - 1).cast("long")
+    return by.select("skey", "source", "source_size", "target", "blocks", "slots", first.alias("first_slot"), F.sum("slots").over(whole).alias("all_slots"), rank.alias("rank"))
 
 
 def placed(sizes: DataFrame) -> DataFrame:
@@ -120,36 +126,68 @@ def placed(sizes: DataFrame) -> DataFrame:
     return inner.join(totals, ["skey", "chunk"]).select("doc_id", "source", "skey", "text_key", "size", (F.col("at") + F.col("base")).alias("begin"))
 
 
-def slot_table(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row a slot of the output: skey, pass, block, slot and shard.
+def shard_draws(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """shard, rank, skey, blocks and the slots ``n`` that the draw gives the source in the shard, where it gives any.
 
-    Runs of slots are dealt to a stated number of tasks, which adaptive plans leave alone: one for
-    each 2^18 slots and at least as many as a shuffle has.
+    Two sources that meet in a stratum share its uniform number, so that every slot has one source.
+    The strata of a group of shards and a source are dealt to a stated number of tasks, which adaptive
+    plans leave alone, and counted there before the shuffle.
     """
-    slots = by_source.agg(F.max("all_slots")).first()[0] or 0  # one number
-    tasks = max(int(by_source.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots >> 18))
-    runs = by_source.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / SLOT_RUN).cast("long"))))
-    runs = runs.repartition(tasks, "skey", "run")
-    last = F.least(F.col("slots"), (F.col("run") + 1) * SLOT_RUN) - 1
-    slots = runs.withColumn("j", F.explode(F.sequence(F.col("run") * SLOT_RUN, last)))
-    seed = F.lit(mix.seed)
-    slots = slots.select(
-        "skey",
-        "blocks",
-        "all_slots",
-        (F.col("j") / F.col("blocks")).cast("long").alias("turn"),
-        (F.col("j") % F.col("blocks")).alias("block"),
-        (F.col("first_slot") + F.col("j")).alias("slot"),
-    )
-    block = permuted(F.col("block"), F.col("blocks"), seed, F.col("skey"), F.col("turn"))
-    slot = permuted(F.col("slot"), F.col("all_slots"), seed)
-    slots = slots.select("skey", "turn", block.alias("block"), slot.alias("slot"))
-    return slots.select("skey", "turn", "block", "slot", (F.col("slot") / mix.shard_slots).cast("long").alias("shard"))
+    slots, sources = by_source.agg(F.coalesce(F.max("all_slots"), F.lit(0)), F.count("*")).first()  # two numbers
+    wide = mix.shard_slots * DRAWN
+    groups, many = -(-slots // wide), F.lit(max(sources, 1))
+    pairs = by_source.sparkSession.range(groups * sources).select((F.col("id") / many).cast("long").alias("group"), (F.col("id") % many).alias("rank"))
+    rows = pairs.join(by_source, "rank").withColumn("here", F.least(F.lit(wide).cast("long"), F.col("all_slots") - F.col("group") * wide))
+
+    def reached(edge: Column) -> Column:
+        """Slots of the group whose uniform number lies below this edge of the cumulated targets."""
+        at = edge.cast("double") * F.col("here") / F.col("all_slots")
+        stratum = F.floor(at).cast("long")
+        uniform = F.pmod(F.xxhash64(F.lit(mix.seed), F.col("group"), stratum), F.lit(1 << 30)) / float(1 << 30)
+        return stratum + F.when(uniform < at - stratum, 1).otherwise(0)
+
+    rows = rows.select("group", "rank", "skey", "blocks", "here", reached(F.col("first_slot")).alias("low"), reached(F.col("first_slot") + F.col("slots")).alias("high"))
+    rows = rows.where("low < high").repartition(_tasks(by_source, slots), "group", "rank")
+    place = permuted(F.col("stratum"), F.col("here"), F.lit(mix.seed), F.col("group"))
+    strata = rows.withColumn("stratum", F.explode(F.sequence(F.col("low"), F.col("high") - 1)))
+    shard = F.col("group") * DRAWN + F.floor(place / mix.shard_slots).cast("long")
+    return strata.groupBy(shard.alias("shard"), "rank", "skey", "blocks").agg(F.count("*").alias("n"))
+
+
+def _tasks(rows: DataFrame, slots: int) -> int:
+    """One task for each 2^18 slots, and at least as many as a shuffle has."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-slots >> 18))
 
 
 def shard_counts(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """shard, skey and the number of the shard's slots that the draw gives to the source."""
-    return slot_table(by_source, mix).groupBy("shard", "skey").agg(F.count("*").alias("n"))
+    """``shard_draws`` with the source's slots in earlier shards (``before``), the slots of sources of lower rank in the shard (``first``), and its slots (``here``)."""
+    from tallyforge.llm.scratch import Scratch
+
+    rows = Scratch(by_source.sparkSession, "draw").keep(shard_draws(by_source, mix)).withColumn("run", F.floor(F.col("shard") / SHARD_RUN))
+    part = Window.partitionBy("rank", "run").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    shard = Window.partitionBy("shard")
+    own = shard.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    none = lambda c: F.coalesce(c, F.lit(0))
+    inner = rows.withColumns({"inside": none(F.sum("n").over(part)), "first": none(F.sum("n").over(own)), "here": F.sum("n").over(shard)})
+    runs = rows.groupBy("rank", "run").agg(F.sum("n").alias("sum"))
+    outer = Window.partitionBy("rank").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select("rank", "run", none(F.sum("sum").over(outer)).alias("base"))
+    return inner.join(runs, ["rank", "run"]).select("shard", "skey", "blocks", "first", "here", "n", (F.col("inside") + F.col("base")).alias("before"))
+
+
+def slot_table(by_source: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """One row a filled slot of the output: skey, turn, block, slot and shard.
+
+    Shards and sources are dealt to a stated number of tasks, which adaptive plans leave alone.
+    """
+    slots = by_source.agg(F.max("all_slots")).first()[0] or 0  # one number
+    drawn = shard_counts(by_source, mix).repartition(_tasks(by_source, slots), "shard", "skey")
+    rows = drawn.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("j", F.col("before") + F.col("i"))
+    rows = rows.where(F.col("j") < F.col("blocks") * mix.passes)
+    seed, turn = F.lit(mix.seed), (F.col("j") / F.col("blocks")).cast("long")
+    block = permuted(F.col("j") % F.col("blocks"), F.col("blocks"), seed, F.col("skey"), turn)
+    place = permuted(F.col("first") + F.col("i"), F.col("here"), seed, F.col("shard"))
+    return rows.select("skey", turn.alias("turn"), block.alias("block"), (F.col("shard") * mix.shard_slots + place).alias("slot"), "shard")
 
 
 def block_table(documents: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -222,8 +260,12 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
     Rows have the columns of ``docs``; a document that is taken in several passes gives as many
     rows. A text taken as a whole stays as it is, the words of a part are joined by one space.
-    Documents of which nothing is taken are left out.
+    Documents of which nothing is taken are left out, as null and blank texts are; rows that agree in
+    id, source and text are one. Columns may have any names. An empty table gives an empty one.
     """
+    from tallyforge.llm.names import hidden
+
+    names, docs = docs.columns, hidden(docs)
     _, _, takes = mix_plan(docs, mix)
     # a document has at most ``passes`` spans for each of its own blocks
     spans = takes.groupBy("doc_id", "skey", "text_key", "begin", "turn").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.sum(F.col("hi") - F.col("lo")).alias("words"))
@@ -240,4 +282,4 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     joined = joined.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(pieces, " ")))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+    return joined.select(*docs.columns).toDF(*names)

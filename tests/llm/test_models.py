@@ -100,6 +100,11 @@ def test_mix_targets_and_shards(spark):
     assert len({r.slot for r in out}) == len(out)
     words = [w for r in out for w in r.text.split()]
     assert len(words) == sum(r.taken for r in got.values())
+    own_words = {}
+    for w in words:
+        key = 301 if w == "q" else int(w[1:].split("w")[0])
+        own_words[key] = own_words.get(key, 0) + 1
+    assert own_words == {i: r.taken for i, r in got.items() if r.taken}
     _, by_source, _ = mix_plan(docs, mix)
     counts = shard_counts(by_source, mix).collect()
     shards = {}
@@ -107,3 +112,43 @@ def test_mix_targets_and_shards(spark):
         shards[r.shard] = shards.get(r.shard, 0) + r.n
     assert all(n == 64 for k, n in shards.items() if k < max(shards)) and len({r.n for r in counts if r.skey == "va"}) > 3
     assert mix_digest(docs.limit(0), mix).count() == 0 and mixed_shards(docs.limit(0), mix).count() == 0
+
+
+def test_mix_follows_the_drawn_counts(spark):
+    """Another draw takes other words; the sum of what the shards drew is what is taken."""
+    from tallyforge.llm.mixing import Mix, mix_digest, mix_plan, shard_counts
+
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (i % 90)), "abc"[i % 3]) for i in range(400)], "doc_id bigint, text string, source string")
+    found = []
+    for seed in (1, 2, 3):
+        mix = Mix(block=8, shard_slots=32, seed=seed)
+        _, by_source, takes = mix_plan(docs, mix)
+        drawn = {r.skey: r.n for r in shard_counts(by_source, mix).groupBy("skey").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+        blocks = {r.skey: r.n for r in takes.select("skey", "slot").distinct().groupBy("skey").count().withColumnRenamed("count", "n").collect()}
+        most = {r.skey: r.blocks * mix.passes for r in by_source.collect()}
+        assert blocks == {k: min(n, most[k]) for k, n in drawn.items()}
+        assert takes.groupBy("slot").agg({"block": "count"}).count() == sum(blocks.values())
+        found.append({r.doc_id: r.taken for r in mix_digest(docs, mix).collect()})
+    assert found[0] != found[1] != found[2]
+
+
+def test_mix_sizes_and_targets_in_sql(spark, tmp_path):
+    """Sizes, source sizes and targets of the contract in DuckDB, by filling up level by level."""
+    import duckdb
+
+    from tallyforge.llm.mixing import mix_digest
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([None, "", " \t", "a b\u00a0c d\n"]) if i % 10 == 0 else "w " * rng.randint(0, 200), rng.choice(["x", "x", "x", "é", "y", "z", None, "Q"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    want = con.sql(rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM '{tmp_path}/documents/*.parquet'),
+b AS (SELECT source, sum(size)::double AS s, [5, 2, 1][(row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+o AS (SELECT *, coalesce(sum(3 * s) OVER u, 0) AS full_, sum(w) OVER () - coalesce(sum(w) OVER u, 0) AS open_, sum(s) OVER () AS whole, row_number() OVER (ORDER BY 3 * s / w, source IS NULL, source) AS k
+      FROM b WINDOW u AS (ORDER BY 3 * s / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT arg_min((whole - full_) / open_, k) AS level FROM o WHERE (whole - full_) / open_ <= 3 * s / w)
+SELECT doc_id, size, s AS source_size, least(level * w, 3 * s) AS target FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source, l ORDER BY doc_id""").fetchall()
+    got = [tuple(r) for r in mix_digest(docs).orderBy("doc_id").select("doc_id", "size", "source_size", "target").collect()]
+    assert len(got) == len(want) and all(g[:3] == (w[0], w[1], int(w[2])) and math.isclose(g[3], w[3], rel_tol=1e-9) for g, w in zip(got, want, strict=True))

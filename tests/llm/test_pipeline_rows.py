@@ -28,3 +28,29 @@ def test_replacement_characters_stay(spark):
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     # these two letters end in the same byte, which the repeated string takes along
     assert got == {1: "x�y " + words(9, 20), 2: words(10, 20), 3: "� alone"}
+
+
+CLASHES = ["score", "key", "number", "left", "n_bytes", "n_removed", "kept", "words", "skey", "row_key", "text_key", "spans", "begin", "size", "taken", "k0", "v", "other_3_", "toxic", "component_id", "a.b", "top"]
+
+
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    bad = " moron idiot scum" * 12
+    texts = [words(i, 60) + (bad if i % 3 == 0 else "") for i in range(45)]
+    passage = words(99, 90)
+    texts += [words(100 + i, 30) + " " + passage for i in range(3)] + [texts[1], texts[2], None, "", " \t"]
+    rows = [(i, t, f"s{i % 2}" if i % 7 else None, "en", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    spark.createDataFrame([(i, int(i % 3 == 0), 1) for i in range(45)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = docs.selectExpr(*[f"concat('{c}', doc_id) as `{c}`" for c in CLASHES[:11]], "*", *[f"concat('{c}', doc_id) as `{c}`" for c in CLASHES[11:]])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        plain = stage(spark, docs, str(tmp_path))
+        assert plain.columns == docs.columns
+        clashing = stage(spark, more, str(tmp_path))
+        assert clashing.columns == more.columns, name
+        got = clashing.collect()
+        key = lambda r: (r[0], r[1] or "")
+        assert sorted((tuple(r[c] for c in docs.columns) for r in got), key=key) == sorted(map(tuple, plain.collect()), key=key), name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in CLASHES), name
+        assert stage(spark, more.limit(0), str(tmp_path)).columns == more.columns
+    coded = corpus_pipeline.encode(spark, more, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in coded) == list(range(len(rows)))
