@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyforge.llm import bpe_codec, minhash, mixing, suffix_dedup, toxicity
+from tallyforge.llm.names import hidden
 from tallyforge.llm.queries import table, tokenizer_path
 from tallyforge.llm.scratch import Scratch
 
@@ -12,8 +15,23 @@ from tallyforge.llm.scratch import Scratch
 ORACLE_SQL = None
 
 
+def under_own_names(stage):
+    """``stage`` over columns whose names can't clash with those that it makes itself."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(spark, hidden(docs), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+@under_own_names
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't call toxic; it is trained on the labels of ``sf_dir``."""
+    """Documents that the classifier doesn't call toxic; it is trained on the labels of ``sf_dir``.
+
+    Null and empty texts have the score that the classifier's bias alone gives, which is clean;
+    repeated rows are scored alike, each a row. Columns may have any names. An empty table stays one.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, carry=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
 
@@ -38,20 +56,25 @@ def keyed(docs: DataFrame) -> DataFrame:
     return usual.select(*docs.columns, "key").unionByName(odd.select(*docs.columns, "key"))
 
 
+@under_own_names
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows that repeat an id and a text are one.
 
-    Texts without words have no near-duplicates and stay.
+    Null and empty texts and those without words have no near-duplicates and stay, as rows without
+    an id do that are near none. Columns may have any names. An empty table stays one.
     """
     rows = keyed(docs)
     found = minhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("key"))
     return rows.join(found, "key", "left_semi").select(*docs.columns)
 
 
+@under_own_names
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of repeated 400-byte strings; documents with nothing left go.
 
-    Where a cut divides a character, its other bytes go too.
+    Where a cut divides a character, its other bytes go too. Null and empty texts have no such
+    strings and stay; rows that repeat an id and a text are one. Columns may have any names. An empty
+    table stays one.
     """
     rows = keyed(docs)
     done = suffix_dedup.remove_repeats(rows.select(F.col("key").alias("doc_id"), "text"), changed_only=True, characters=True).where("n_removed > 0").select(F.col("doc_id").alias("key"), "n_bytes", "n_removed", F.col("kept").cast("string").alias("left"))
@@ -64,12 +87,20 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources: a row for each document and pass with the words that are taken."""
+    """The mix of the sources: a row for each document and pass with the words that are taken.
+
+    Null and blank texts have no words and go; rows that agree in id, source and text are one; a null
+    source is a source of its own. Columns may have any names. An empty table stays one.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, number of tokens, and the decoded text of every document of the mix."""
+    """doc_id, ids, number of tokens, and the decoded text of every document of the mix.
+
+    Null and empty texts have no ids and an empty text; every row gives one, repeated ones too. Other
+    columns aren't read, whatever their names. An empty table gives an empty one.
+    """
     path = tokenizer_path("word_bpe_49k.json")
     coded = bpe_codec.decode(bpe_codec.encode(docs, path), path)
     return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
