@@ -198,10 +198,3 @@ def normal_tail(z: Column) -> Column:
     tail = F.exp(-z * z / 2) / F.lit(2.5066282746310002) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
-
-def student_tail(t: Column, df: Column) -> Column:
-    """P(T > t) in closed form for 2 and 4 degrees of freedom, null for others."""
-    two = 0.5 - t / (2 * F.sqrt(2 + t * t))
-    u = t / F.sqrt(4 + t * t)
-    four = 0.5 - (u - u * u * u / 3) * 0.75
-    return F.when(df == 2, two).when(df == 4, four)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tallyforge.functions.scoring import normal_tail, student_tail
+from tallyforge.functions.distributions import student_tail
+from tallyforge.functions.scoring import normal_tail
 
 
 def paired_bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
@@ -33,15 +34,15 @@ def paired_bootstrap(pairs: DataFrame, draws: int = 1000, seed: int = 42) -> Dat
 
 
 def paired_t_test(pairs: DataFrame) -> DataFrame:
-    """n, mean, t, one-sided p by the normal law, and by Student's where it has a short closed form (2 or 4 degrees).
+    """n, mean, t, and one-sided p by the normal law and by Student's with n - 1 degrees of freedom.
 
-    Equal differences give an infinite t of the sign of their mean and p 0, as one pair or none give nulls.
+    Equal differences give a positive infinite t and p 0, whatever their sign; one pair or none give nulls.
     """
     row = pairs.agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
     t = F.when(F.col("n") < 2, None).when(F.col("sd") == 0, F.lit(float("inf"))).otherwise(F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0)) * F.sqrt("n"))
     row = row.withColumn("t", t)
     normal = F.when(F.col("sd") == 0, F.lit(0.0)).otherwise(normal_tail(F.col("t")))
-    return row.select("n", F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"), F.round(normal, 5).alias("p_normal"), F.round(F.when(F.col("sd") > 0, student_tail(F.col("t"), F.col("n") - 1)), 5).alias("p_student"))
+    return row.select("n", F.round("mean", 6).alias("mean"), F.round("t", 4).alias("t"), F.round(normal, 5).alias("p_normal"), F.round(student_tail(F.col("t"), F.col("n") - 1), 5).alias("p_student"))
 
 
 def one_sample_z(rates: DataFrame) -> DataFrame:
@@ -89,6 +90,8 @@ def published_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PAIRS = "d AS (SELECT CAST(ts AS DATE) AS day, avg((event_type = 'error')::int) - avg((event_type = 'signup')::int) AS d FROM events GROUP BY 1), p AS (SELECT row_number() OVER (ORDER BY day) - 1 AS k, d FROM d)"
 _TAIL = lambda z: f"CASE WHEN {z} >= 0 THEN f ELSE 1 - f END"
 _PHI = lambda z: f"exp(-pow({z}, 2) / 2) / sqrt(2 * pi()) * (0.31938153 * u - 0.356563782 * pow(u, 2) + 1.781477937 * pow(u, 3) - 1.821255978 * pow(u, 4) + 1.330274429 * pow(u, 5))"
+#: Steps of Simpson's rule over the density of Student's law.
+_SIMPSON = 20000
 QUERIES = {
     "paired_bootstrap": lambda spark, sf_dir: paired_bootstrap(daily_pairs(spark, sf_dir)),
     "paired_t_test": lambda spark, sf_dir: paired_t_test(daily_pairs(spark, sf_dir)),
@@ -102,7 +105,7 @@ x AS (SELECT b, CAST('0x' || left(md5('42#' || b || '#' || i), 8) AS BIGINT) % n
 m AS (SELECT b, round(avg(d), 12) AS mean FROM x JOIN p USING (k) GROUP BY b), o AS (SELECT mean, row_number() OVER (ORDER BY mean, b) - 1 AS place FROM m)
 SELECT n, round(observed, 6) AS observed, round((SELECT mean FROM o WHERE place = 25), 6) AS lo, round((SELECT mean FROM o WHERE place = 975), 6) AS hi, round((SELECT avg((round(mean - observed, 12) >= observed)::int) FROM m), 6) AS p FROM w""",
     "paired_t_test": f"""WITH {_PAIRS}, s AS (SELECT count(*) AS n, avg(d) AS mean, avg(d) / stddev_samp(d) * sqrt(count(*)) AS t FROM p), v AS (SELECT *, 1 / (1 + 0.2316419 * abs(t)) AS u FROM s), q AS (SELECT *, {_PHI("t")} AS f FROM v)
-SELECT n, round(mean, 6) AS mean, round(t, 4) AS t, round({_TAIL("t")}, 5) AS p_normal, CAST(NULL AS DOUBLE) AS p_student FROM q""",
+SELECT n, round(mean, 6) AS mean, round(t, 4) AS t, round({_TAIL("t")}, 5) AS p_normal, round(0.5 - sign(t) * (SELECT sum(CASE WHEN j IN (0, {_SIMPSON}) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(abs(t) * j / {_SIMPSON}, 2) / (n - 1), -n / 2)) FROM range({_SIMPSON} + 1) r(j)) * abs(t) / {_SIMPSON} / 3 * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt((n - 1) * pi()), 5) AS p_student FROM q""",
     "one_sample_z_test": f"""{_Z}, e AS (SELECT *, p - ref AS delta, sqrt(pow((hi - lo) / 3.92, 2) + p * (1 - p) / n) AS e FROM r), z AS (SELECT *, CASE WHEN e > 0 THEN delta / e END AS z FROM e), v AS (SELECT *, 1 / (1 + 0.2316419 * abs(z)) AS u FROM z), q AS (SELECT *, {_PHI("z")} AS f FROM v)
 SELECT name, round(delta, 6) AS delta, round(CASE WHEN z IS NOT NULL THEN z WHEN delta > 0 THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END, 4) AS z, round(CASE WHEN z IS NOT NULL THEN {_TAIL("z")} WHEN delta > 0 THEN 0 ELSE 1 END, 5) AS p, round(delta - 1.96 * e, 6) AS lo, round(delta + 1.96 * e, 6) AS hi FROM q""",
     "published_check": f"""{_Z} SELECT name, round(p, 4) AS value, v AS published, round(abs(p - v), 4) AS gap FROM r JOIN (VALUES ('click', 0.5), ('error', 0.9), ('signup', 0.2), ('absent', 0.1)) k(name, v) USING (name) WHERE abs(p - v) > 0.05""",
