@@ -7,7 +7,8 @@ opened, and an open one is finished only if it can still reach the best document
 seen. Of a document's other tokens only a bound is needed there: document frequencies, added up in a
 table of fixed size by hash, bound its length from below, and the rarest possible tokens from above.
 So a document gives no more than (item, lower bound, upper bound) where it may be the best, and
-exact weights are computed for the documents that the bounds leave.
+exact weights are computed for the documents that the bounds leave. Tokens are told apart by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tallyforge.operators.contamination import hashed, pieces, tokens
+from tallyforge.operators.contamination import hashed, pieces
 from tallyforge.storage import kept
 
 #: Entries of the table of document frequencies, and (item, token) pairs of the index that one pass holds.
@@ -196,21 +197,35 @@ def survivors(found: DataFrame) -> DataFrame:
 
 
 def _counts(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key, F.explode(tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    return rows.select(key, F.explode(hashed(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
-def pair_cosines(pairs: DataFrame, items: DataFrame, docs: DataFrame) -> DataFrame:
+def exact_idf(needed: DataFrame, rows: DataFrame, most: int = POSTINGS) -> DataFrame:
+    """(token, idf) of the hashed tokens in ``needed``, by exact document frequencies over ``rows`` (h).
+
+    The tokens are taken in as many blocks as keep ``most`` each, one pass over the rows for a block.
+    """
+    spark, out = rows.sparkSession, None
+    for k in range(blocks := max(1, -(-needed.count() // most))):
+        # at most about ``most`` hashes
+        vocabulary = np.sort(needed.where(F.pmod("token", F.lit(blocks)) == k).select("token").toArrow()["token"].to_numpy())
+        total, _, df = frequencies(rows, vocabulary)
+        table = pa.table({"token": vocabulary, "idf": np.log((total + 1) / (df + 1)) + 1})
+        part = spark.createDataFrame(table) if len(vocabulary) else spark.createDataFrame([], "token bigint, idf double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pair_cosines(pairs: DataFrame, items: DataFrame, docs: DataFrame, most: int = POSTINGS) -> DataFrame:
     """(item_id, doc_id, cosine) of the given pairs, by exact document frequencies over all items and documents.
 
     Only tokens of the pairs' own texts are counted and weighed. Repeated ids count as one text.
     """
-    a = _counts(items.join(pairs.select("item_id").distinct(), "item_id", "left_semi"), "item_id")
-    b = _counts(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    a = kept(_counts(items.join(pairs.select("item_id").distinct(), "item_id", "left_semi"), "item_id"))
+    b = kept(_counts(docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id"))
     needed = kept(a.select("token").unionByName(b.select("token")).distinct())
-    all_rows = items.select("text").unionByName(docs.select("text")).select(F.array_distinct(tokens(F.col("text"))).alias("w"))
-    df = all_rows.select(F.explode("w").alias("token")).join(needed, "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
-    total = all_rows.where(F.size("w") > 0).agg(F.count("*").alias("total"))
-    idf = kept(df.join(F.broadcast(total)).select("token", (F.ln((F.col("total") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
+    every = items.select(hashed(F.col("text")).alias("h")).unionByName(docs.select(hashed(F.col("text")).alias("h")))
+    idf = kept(exact_idf(needed, every, most))
     x = kept(a.join(idf, "token").select("item_id", "token", (F.col("n") * F.col("idf")).alias("xa")))
     y = kept(b.join(idf, "token").select("doc_id", "token", (F.col("n") * F.col("idf")).alias("xb")))
     na = x.groupBy("item_id").agg(F.sqrt(F.sum(F.col("xa") * F.col("xa"))).alias("na"))
@@ -227,7 +242,7 @@ def top1(items: DataFrame, docs: DataFrame, postings: int = POSTINGS) -> DataFra
     columns aren't read. Null and empty texts have no token.
     """
     found = kept(candidates(items.select("item_id", "text"), docs.select("doc_id", "text"), postings))
-    exact = kept(pair_cosines(kept(survivors(found)), items.select("item_id", "text"), docs.select("doc_id", "text")))
+    exact = kept(pair_cosines(kept(survivors(found)), items.select("item_id", "text"), docs.select("doc_id", "text"), postings))
     most = exact.groupBy("item_id").agg(F.max("cosine").alias("cosine"))
     tied = exact.withColumnRenamed("cosine", "own").join(most, "item_id").where(F.round("own", 4) == F.round("cosine", 4))
     return tied.groupBy("item_id").agg(F.first("cosine").alias("cosine"), F.min("doc_id").alias("doc_id"))
