@@ -37,6 +37,29 @@ def sweep(spark: SparkSession, per_dimension: int, seed: int = 42) -> DataFrame:
     return rows.select(task_id(F.col("dimension"), F.col("source_mode"), F.col("number")).alias("task_id"), "dimension", "difficulty", "source_mode", sure.alias("confidence"), turn.alias("turn"))
 
 
+def swept(prospects: DataFrame, pools: dict[str, DataFrame], seed: int = 42) -> DataFrame:
+    """Tasks for every prospect (id): each dimension and difficulty, with an entry of each pool.
+
+    ``pools`` have a column ``entry`` and few rows, numbered by it; each task takes one of each by the
+    hash of its place. A cell of dimension and difficulty has one source mode. Adversarial tasks have
+    a confidence of 0.3, hard and adversarial ones a turn of 1 to 5. An empty pool gives null entries.
+    Prospects without an id, and rows that repeat one, give their tasks all the same.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(k).alias("difficulty")) for d in DIMENSIONS for k in DIFFICULTIES]))
+    rows = prospects.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("prospect"), cells.alias("c")).select("prospect", "c.*")
+    rows = rows.withColumn("source_mode", pick(MODES, hashed(len(MODES), F.lit(seed), "dimension", "difficulty")))
+    hard = F.col("difficulty").isin("hard", "adversarial")
+    own = lambda n, name: hashed(n, F.lit(seed), F.lit(name), "prospect", "dimension", "difficulty")
+    rows = rows.withColumn("turn", F.when(hard, 1 + own(5, "turn")))
+    rows = rows.withColumn("confidence", F.when(F.col("difficulty") == "adversarial", 0.3).otherwise(F.round(0.4 + own(60, "sure") / 100, 2)))
+    for name, pool in pools.items():
+        # a pool is a short list
+        numbered = pool.select((F.row_number().over(Window.orderBy("entry")) - 1).alias("place"), F.col("entry").alias(name))
+        size = pool.agg(F.count("*").alias("n")).first()["n"]
+        rows = rows.withColumn("place", own(max(size, 1), name)).join(numbered, "place", "left").drop("place")
+    return rows
+
+
 def run_matrix(tasks: DataFrame, trials: int, conditions: list[str]) -> DataFrame:
     """Every task under every condition, ``trials`` times: an explode a row, no join."""
     return tasks.withColumn("condition", F.explode(F.array(*map(F.lit, conditions)))).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
@@ -153,6 +176,12 @@ def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("lang").alias("dimension"), F.concat(F.lit("d"), "doc_id").alias("name"), (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).cast("bigint").alias("k"))
 
 
+def swept_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as prospects, nations as signals and regions as snapshots."""
+    read = lambda t, c, n: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(c).alias(n))
+    return swept(read("customer", "c_custkey", "id"), {"signal": read("nation", "n_name", "entry"), "snapshot": read("region", "r_name", "entry")})
+
+
 def pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_pairs(_tasks(spark, sf_dir), 100, _SHARES, _TEMPLATES)
 
@@ -200,6 +229,7 @@ def accepted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _H = lambda *key: "(CAST('0x' || left(md5(" + " || '#' || ".join(key) + "), 8) AS BIGINT))"
 QUERIES = {
+    "swept_tasks": swept_query,
     "generated_tasks": lambda spark, sf_dir: sweep(spark, 50), "preference_pairs": pairs_query, "pair_audit": lambda spark, sf_dir: pair_audit(pairs_query(spark, sf_dir)),
     "training_rows": lambda spark, sf_dir: training_rows(pairs_query(spark, sf_dir).withColumn("input", F.concat(F.lit("about "), "dimension")), "Rules."),
     "prompt_render": prompt_render, "run_matrix": run_matrix_query, "ordered_lookup": ordered_lookup, "regression_gate": regression_gate_query,
@@ -211,6 +241,11 @@ n AS (SELECT r.dimension, i, coalesce(name, 'unknown') AS name FROM r LEFT JOIN
 p AS (SELECT printf('PAIR-%s-%04d', upper(left(dimension, 2)), i) AS pair_id, dimension, replace((['Ask {{name}} first.', 'Tell {{name}} all of it now.', 'Wait.'])[{_H("'chosen'", "dimension", "i")} % 3 + 1], '{{name}}', name) AS chosen, replace((['Ask {{name}} first.', 'Tell {{name}} all of it now.', 'Wait.'])[{_H("'rejected'", "dimension", "i")} % 3 + 1], '{{name}}', name) AS rejected FROM n)"""
 _WORDS = lambda c: f"len(list_filter(string_split_regex({c}, '\\s+'), lambda w: w <> ''))"
 ORACLES = {
+    "swept_tasks": f"""WITH r AS (SELECT CAST(c_custkey AS VARCHAR) AS prospect, dimension, difficulty FROM customer, (VALUES ('signal_grounding'), ('capacity_honesty'), ('tone_preservation'), ('consent_coordination'), ('gap_framing')) d(dimension), (VALUES ('easy'), ('medium'), ('hard'), ('adversarial')) k(difficulty)),
+s AS (SELECT n_name AS signal, row_number() OVER (ORDER BY n_name) - 1 AS i FROM nation), p AS (SELECT r_name AS snapshot, row_number() OVER (ORDER BY r_name) - 1 AS j FROM region),
+x AS (SELECT *, {_H("'42'", "'signal'", "prospect", "dimension", "difficulty")} % (SELECT count(*) FROM nation) AS i, {_H("'42'", "'snapshot'", "prospect", "dimension", "difficulty")} % (SELECT count(*) FROM region) AS j FROM r)
+SELECT prospect, dimension, difficulty, (['trace_derived', 'programmatic', 'multi_llm_synthesis', 'hand_authored'])[{_H("'42'", "dimension", "difficulty")} % 4 + 1] AS source_mode, CASE WHEN difficulty IN ('hard', 'adversarial') THEN 1 + {_H("'42'", "'turn'", "prospect", "dimension", "difficulty")} % 5 END AS turn,
+CASE WHEN difficulty = 'adversarial' THEN 0.3 ELSE round(0.4 + {_H("'42'", "'sure'", "prospect", "dimension", "difficulty")} % 60 / 100, 2) END AS confidence, signal, snapshot FROM x LEFT JOIN s USING (i) LEFT JOIN p USING (j)""",
     "generated_tasks": f"""WITH r AS (SELECT g % 50 AS k, g // 50 + 1 AS d, g + 1 AS number FROM range(250) t(g)), n AS (SELECT *, (['signal_grounding', 'capacity_honesty', 'tone_preservation', 'consent_coordination', 'gap_framing'])[d] AS dimension, (['SG', 'CH', 'TP', 'CC', 'GF'])[d] AS code FROM r),
 f AS (SELECT *, (['easy', 'medium', 'hard', 'adversarial'])[CASE WHEN k < 48 THEN k // 12 ELSE {_H("'42'", "dimension", "k")} % 4 END + 1] AS difficulty FROM n), s AS (SELECT *, {_H("'42'", "dimension", "difficulty")} % 4 + 1 AS m FROM f)
 SELECT printf('TB-%s-%s-%04d', code, (['TR', 'PR', 'ML', 'HA'])[m], number) AS task_id, dimension, difficulty, (['trace_derived', 'programmatic', 'multi_llm_synthesis', 'hand_authored'])[m] AS source_mode, CASE WHEN difficulty = 'adversarial' THEN 0.3 ELSE round(0.4 + {_H("'42'", "'sure'", "number")} % 60 / 100, 2) END AS confidence, CASE WHEN difficulty IN ('hard', 'adversarial') THEN 1 + {_H("'42'", "'turn'", "number")} % 5 END AS turn FROM s""",
