@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from tallyforge.functions.rules import Rules
+from tallyforge.functions.rules import Rules, searched
 
 # Patterns that decide the scores, searched without regard to case.
 CERTAIN = [
@@ -101,7 +101,7 @@ RULES = Rules({
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
-    return reduce(Column.__or__, [text.rlike("(?i)" + p) for p in patterns])
+    return reduce(Column.__or__, [text.rlike(searched(p)) for p in patterns])
 
 
 def _point(condition: Column, points: int = 1) -> Column:
@@ -110,7 +110,7 @@ def _point(condition: Column, points: int = 1) -> Column:
 
 def scored(text: Column, score: Column) -> Column:
     """``score`` where ``text`` has anything but white space."""
-    return F.when(text.rlike(r"\S"), score)
+    return F.when(text.rlike(searched(r"\S")), score)
 
 
 def keywords(behaviour: Column) -> Column:
@@ -141,7 +141,7 @@ def _stacks(text: Column, role: Column, behaviours: Column, roles: Column) -> tu
     names = F.filter(F.transform(roles, lambda r: F.lower(r["stack"])), lambda n: F.coalesce(n, F.lit("")) != "")
     relevant = F.filter(names, lambda n: F.contains(hint, n) | ~special)
     total = F.aggregate(roles, F.lit(0).cast("bigint"), lambda a, r: a + F.coalesce(r["count"], F.lit(0)))
-    return relevant, text.rlike("(?i)" + HARD_COMMIT) & ((total == 0) | (F.size(relevant) == 0))
+    return relevant, text.rlike(searched(HARD_COMMIT)) & ((total == 0) | (F.size(relevant) == 0))
 
 
 def capacity_score(text: Column, role: Column, behaviours: Column, roles: Column, rules: Rules = RULES) -> Column:
@@ -172,8 +172,8 @@ def tone_trouble(text: Column, rules: Rules = RULES) -> Column:
 
 def tone_soft(text: Column, rules: Rules = RULES) -> Column:
     """1 to 5: few fillers, no superlative, a caveat, no run of capitals, and one point for all."""
-    words = F.greatest(F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")), F.lit(1))
-    few = F.regexp_count(text, F.lit("(?i)" + FILLERS)) / words < 0.03
+    words = F.greatest(F.size(F.filter(F.split(text, searched(r"\s+")), lambda w: w != "")), F.lit(1))
+    few = F.regexp_count(text, F.lit(searched(FILLERS))) / words < 0.03
     return _point(few) + _point(~any_of(text, [SUPERLATIVES])) + _point(rules.any_of(text, "honest_patterns")) + _point(~text.rlike(SHOUTING)) + 1
 
 
@@ -188,7 +188,7 @@ def task_error(dimension: Column, text: Column, known: tuple[str, ...] = tuple(H
     return (
         F.when(F.coalesce(dimension, F.lit("")) == "", "missing_dimension")
         .when(~dimension.isin(*known), F.concat(F.lit("unknown_dimension: "), dimension))
-        .when(~F.coalesce(text.rlike(r"\S"), F.lit(False)), "empty_candidate")
+        .when(~F.coalesce(text.rlike(searched(r"\S")), F.lit(False)), "empty_candidate")
     )
 
 

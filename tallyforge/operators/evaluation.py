@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tallyforge.functions.rules import Rules
+from tallyforge.functions.rules import Rules, searched
 from tallyforge.operators import cosine_index
 from tallyforge.operators.contamination import WORDS, _CONTAIN, containment, tokens
 
@@ -46,7 +46,7 @@ FIXTURES = [
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
-    return reduce(Column.__or__, [text.rlike("(?i)" + p) for p in patterns])
+    return reduce(Column.__or__, [text.rlike(searched(p)) for p in patterns])
 
 
 #: The sections that settings name, with the values above.
@@ -57,7 +57,7 @@ def consent_score(text: Column, rules: Rules = RULES) -> Column:
     """0 to 3; null for blank texts, which have no score."""
     asks = rules.any_of(text, "consent_patterns")
     points = F.when(asks, 2).otherwise(0) + F.when(_any(text, [OTHER_TIMES]), 1).otherwise(0)
-    return F.when(text.rlike(r"\S"), F.when(_any(text, [BOOKED]) & ~asks, 0).otherwise(points))
+    return F.when(text.rlike(searched(r"\S")), F.when(_any(text, [BOOKED]) & ~asks, 0).otherwise(points))
 
 
 def consent_trouble(text: Column, rules: Rules = RULES) -> Column:
@@ -67,7 +67,7 @@ def consent_trouble(text: Column, rules: Rules = RULES) -> Column:
 def gap_score(text: Column, rules: Rules = RULES) -> Column:
     """0 to 3; null for blank texts, which have no score."""
     points = F.when(rules.any_of(text, "question_framing_patterns"), 2).otherwise(0) + F.when(_any(text, [HOSTILE]), 0).otherwise(1)
-    return F.when(text.rlike(r"\S"), F.when(rules.any_of(text, "accusatory_patterns") | _any(text, [NET_ACCUSING]), 0).otherwise(points))
+    return F.when(text.rlike(searched(r"\S")), F.when(rules.any_of(text, "accusatory_patterns") | _any(text, [NET_ACCUSING]), 0).otherwise(points))
 
 
 def gap_trouble(text: Column, rules: Rules = RULES) -> Column:
@@ -101,13 +101,13 @@ def batch_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_match_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first pattern of the question framings that a text has, cut to 50 characters."""
     text = F.col("text")
-    note = F.coalesce(*[F.when(text.rlike("(?i)" + p), F.lit(p[:50])) for p in ASKING])
+    note = F.coalesce(*[F.when(text.rlike(searched(p)), F.lit(p[:50])) for p in ASKING])
     return candidates(spark, sf_dir).select("conv_id", "turn", note.alias("note"))
 
 
 def judge_score_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first integer from 0 to 50 in a judge's answer; null where there is none."""
-    found = F.transform(F.regexp_extract_all("props", F.lit(r"\b(\d+)\b"), 1), lambda x: x.try_cast("bigint"))
+    found = F.transform(F.regexp_extract_all("props", F.lit(searched(r"\b(\d+)\b")), 1), lambda x: x.try_cast("bigint"))
     score = F.get(F.filter(found, lambda x: x.between(0, 50)), 0)
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", score.alias("score"))
 
