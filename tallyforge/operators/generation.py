@@ -189,7 +189,8 @@ def pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as prospects: balance as confidence, segment as role, and every other one with a free role."""
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    sure = F.round(F.abs("c_acctbal") / 10000, 2)
+    # as in SQL the double product is rounded, which tells 0.145 from its decimal form
+    sure = F.round(F.abs("c_acctbal") / 10000 * 100, 0) / 100
     roles = F.when(F.col("c_custkey") % 2 == 0, F.array(F.struct(F.lit("go").alias("stack"), (F.col("c_custkey") % 7).cast("int").alias("count")))).otherwise(F.array().cast("array<struct<stack:string,count:int>>"))
     kind = pick(("capacity_honesty", "signal_grounding", "gap_framing"), (F.col("c_custkey") % 3).cast("int"))
     text = prompt(F.col("c_name"), F.col("c_mktsegment"), sure, roles, kind)
