@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyforge.operators.contamination import tokens
 
 #: Bytes of item vectors that are sent to all tasks at once; more items take more passes.
-MATRIX_BYTES = 64_000_000
+MATRIX_BYTES = 32_000_000
+#: Rows of items and of references whose products are held at once.
+TILE = 1000
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -19,13 +23,33 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def best_references(ids: np.ndarray, x: np.ndarray | None, batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """id, cosine and ref_id of the best reference in ``batches`` of each item, a tile of products at a time."""
+    top, ref = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
+    for pdf in batches if len(ids) else ():
+        for at in range(0, len(pdf), TILE):
+            part = pdf.iloc[at : at + TILE].sort_values("id", kind="stable")
+            y, names = _unit(part["v"]).T, part["id"].to_numpy()
+            for start in range(0, len(ids), TILE):
+                to = slice(start, start + TILE)
+                dots = x[to] @ y
+                np.round(dots, 12, out=dots)
+                place = dots.argmax(1)
+                value, own = dots[np.arange(len(dots)), place], names[place]
+                better = (value > top[to]) | ((value == top[to]) & (own < ref[to]))
+                top[to][better], ref[to][better] = value[better], own[better]
+    seen = top > -np.inf
+    yield pd.DataFrame({"id": ids[seen], "cosine": top[seen], "ref_id": ref[seen]})
+
+
 def dense_top1(items: DataFrame, references: DataFrame, threshold: float = 0.85) -> DataFrame:
     """id, max_cosine, ref_id and contaminated of every item with a usable vector.
 
     Both have columns id (long) and v (array of doubles). Vectors that are null or zero, or have
     null or non-finite parts, match nothing; the smallest reference wins a tie. Items are dealt into
     blocks of at most about MATRIX_BYTES by a hash of their id, with one pass over the references for
-    each; a task keeps the best of each item over all its references and gives it once.
+    each; a task keeps the best of each item over all its references and gives it once. Products are
+    made a tile at a time, so that a task holds a block and one tile, whatever the number of items.
     """
     width = references.select(F.max(F.size("v"))).first()[0] or 0
     usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -35,21 +59,7 @@ def dense_top1(items: DataFrame, references: DataFrame, threshold: float = 0.85)
 
     def one_pass(block: pd.DataFrame) -> DataFrame:
         ids, x = block["id"].to_numpy(), _unit(block["v"]) if len(block) else None
-
-        def best(batches):
-            top, ref = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=np.int64)
-            for pdf in batches if len(ids) else ():
-                for at in range(0, len(pdf), 1000):
-                    part = pdf.iloc[at : at + 1000].sort_values("id", kind="stable")
-                    dots = np.round(x @ _unit(part["v"]).T, 12)
-                    place = dots.argmax(1)
-                    value, own = dots[np.arange(len(ids)), place], part["id"].to_numpy()[place]
-                    better = (value > top) | ((value == top) & (own < ref))
-                    top[better], ref[better] = value[better], own[better]
-            seen = top > -np.inf
-            yield pd.DataFrame({"id": ids[seen], "cosine": top[seen], "ref_id": ref[seen]})
-
-        found = references.mapInPandas(best, "id long, cosine double, ref_id long")
+        found = references.mapInPandas(lambda batches: best_references(ids, x, batches), "id long, cosine double, ref_id long")
         return found.groupBy("id").agg(F.max(F.struct("cosine", (-F.col("ref_id")).alias("low"))).alias("top"))
 
     out = None
