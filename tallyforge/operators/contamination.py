@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Bits of the filter of the items' grams: a fixed size, at which five million grams let one in fifty of others through.
 FILTER_BITS = 1 << 26
 #: Words that are looked at together in Python.
-PIECE = 1_000_000
+PIECE = 100_000
 
 
 def tokens(text: Column) -> Column:
