@@ -6,6 +6,9 @@ length. In every round both models score all unlabelled documents; the rows that
 of are labelled by it, and the other learns from them. At the end each view is calibrated on labelled
 rows that it wasn't fitted on (a logistic map of its margin), and the mean of both calibrated margins
 scores every document.
+
+Texts are read once, for a table of word counts and shapes by document. All rounds read that table,
+and only ids and scores meet the labels.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyforge.llm.arrowtext import release
@@ -66,7 +70,8 @@ class ContentView:
             self.facts[first:last] = rows
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the words by bucket, and the shapes."""
         if len(self.known) > 300_000:
             self.known.clear()
         split = [t.split() if t else [] for t in texts]
@@ -80,16 +85,29 @@ class ContentView:
         lines = [(t or "").split("\n") for t in texts]
         alike = np.array([len(set(x)) / len(x) for x in lines])
         shapes = [np.log1p(count), unlike / n, letters / c, upper / c, digits / c, (size - letters - digits) / c, alike, np.minimum(letters / n, 20.0), shouted / n]
-        return np.hstack([np.sqrt(bags / n[:, None]), np.stack(shapes, 1)])
+        return bags, np.stack(shapes, 1)
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        return content_view(*self.counts(texts))
+
+
+def content_view(bags: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of the words, and the shapes."""
+    return np.hstack([np.sqrt(bags / np.maximum(bags.sum(1), 1)[:, None]), shapes])
+
 
+def metadata_codes(lang: str | None, source: str | None, n_chars) -> tuple[int, int, float]:
+    """The flags of language and source, and the logarithm of the stated length."""
+    return crc32(str(lang).encode()) % 8, 8 + crc32(str(source).encode()) % 31, float(np.log1p(max(0, n_chars))) if n_chars is not None and n_chars == n_chars else 0.0
 
-def metadata_view(lang: str | None, source: str | None, n_chars) -> list[float]:
+
+def metadata_views(langs: np.ndarray, sources: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Language and source as hashed flags, and the stated length."""
-    row = [0.0] * 40
-    row[crc32(str(lang).encode()) % 8] = 1.0
-    row[8 + crc32(str(source).encode()) % 31] = 1.0
-    row[39] = float(np.log1p(max(0, n_chars))) if n_chars is not None and n_chars == n_chars else 0.0
-    return row
+    at, rows = np.arange(len(sizes)), np.zeros((len(sizes), PAGE))
+    rows[at, langs] = 1.0
+    rows[at, sources] = 1.0
+    rows[:, PAGE - 1] = sizes
+    return rows
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: float = 1e-3, steps: int = 400) -> np.ndarray:
@@ -139,23 +157,48 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def views(frame: pd.DataFrame, content: ContentView) -> tuple[np.ndarray, np.ndarray]:
-    text = [t if isinstance(t, str) else None for t in frame["text"]]
-    return content(text), np.array([metadata_view(*r) for r in zip(frame["lang"], frame["source"], frame["n_chars"], strict=True)]).reshape(len(frame), -1)
+#: A row's counts are of 2 bytes each, or of 4 where one is too large.
+VIEWS = "doc_id bigint, bags binary, shapes binary, lang int, source int, size double"
 
 
-def mapped(docs: DataFrame, make, schema: str) -> DataFrame:
-    """``make(rows, content view, metadata view)`` of 100 rows at a time; ids stay text, so that large ones stay whole."""
+def stored_views(docs: DataFrame) -> DataFrame:
+    """Both views of every row, some hundred bytes each."""
 
     def run(batches):
         content = ContentView()
-        for pdf in batches:
-            for at in range(0, len(pdf), 100):
-                part = pdf.iloc[at : at + 100]
-                yield make(part, *views(part, content))
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part = batch.slice(at, 100)
+                doc_id, text, lang, source, n_chars = part.columns
+                bags, shapes = content.counts(text.to_pylist())
+                wide = bags.max(1) > 0xFFFF
+                codes = list(zip(*map(metadata_codes, lang.to_pylist(), source.to_pylist(), n_chars.to_pylist()), strict=True))
+                made = [
+                    pa.array([row.astype("<u4" if w else "<u2").tobytes() for row, w in zip(bags, wide, strict=True)], pa.binary()),
+                    pa.array([row.astype("<f8").tobytes() for row in shapes], pa.binary()),
+                    *(pa.array(x, kind) for x, kind in zip(codes, (pa.int32(), pa.int32(), pa.float64()), strict=True)),
+                ]
+                yield pa.RecordBatch.from_arrays([doc_id, *made], names=["doc_id", "bags", "shapes", "lang", "source", "size"])
+        release()
+
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(run, VIEWS)
+
+
+def mapped(stored: DataFrame, make, schema: str) -> DataFrame:
+    """``make(ids, content view, metadata view)`` of 100 rows at a time: columns that follow the id."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 100):
+                part = batch.slice(at, 100)
+                bags = [np.frombuffer(x, dtype="<u4" if len(x) == 4 * BUCKETS else "<u2") for x in part.column("bags").to_pylist()]
+                a = content_view(np.array(bags, dtype=np.int64), np.frombuffer(b"".join(part.column("shapes").to_pylist()), dtype="<f8").reshape(-1, SHAPES))
+                b = metadata_views(*(part.column(c).to_numpy() for c in ("lang", "source", "size")))
+                found = make(a, b)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], names=["doc_id", *found])
         release()
 
-    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema)
+    return stored.mapInArrow(run, schema)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -169,14 +212,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang", "source", "n_chars")
     usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    scratch, seen = Scratch(docs.sparkSession, "quality"), set()
+    stored = scratch.keep(stored_views(docs))
     key = F.xxhash64("doc_id")
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality")).orderBy(key, "doc_id").limit(s.labelled)
 
     def gather(picked: DataFrame) -> pd.DataFrame:
         """Views of the few rows that ``picked`` names, by id."""
-        keep = lambda part, a, b: pd.DataFrame({"doc_id": part["doc_id"], "quality": part["quality"], "content": list(a), "page": list(b)})
-        rows = mapped(docs.join(F.broadcast(picked), "doc_id"), keep, "doc_id string, quality double, content array<double>, page array<double>").toPandas()
-        rows["id"] = rows["doc_id"].astype(object).map(int)
+        rows = stored.join(F.broadcast(picked), "doc_id").toPandas()
+        bags = [np.frombuffer(x, dtype="<u4" if len(x) == 4 * BUCKETS else "<u2") for x in rows["bags"]]
+        shapes = [np.frombuffer(x, dtype="<f8") for x in rows["shapes"]]
+        rows["id"] = rows["doc_id"]
+        rows["content"] = list(content_view(np.array(bags, dtype=np.int64).reshape(-1, BUCKETS), np.array(shapes).reshape(-1, SHAPES)))
+        rows["page"] = list(metadata_views(*(rows[c].to_numpy() for c in ("lang", "source", "size"))))
         rows["rank"] = [tuple(v) for v in rows["content"]]
         return rows.sort_values(["id", "rank"], kind="stable").drop_duplicates("id")
 
@@ -187,12 +235,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
     models: list[Model] = []
     if len(set(y[~apart])) == 2:
         models = [Model(stack(known[~apart], c), y[~apart]) for c in ("content", "page")]
-        free = docs.where("doc_id is not null").join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
-        scratch, seen = Scratch(docs.sparkSession, "quality"), set()
+        told_of = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"))
         for _ in range(s.rounds):
             now = [m.light() for m in models]
-            rate = lambda part, a, b, now=now: pd.DataFrame({"doc_id": part["doc_id"], "p0": sigmoid(now[0].margin(a)), "p1": sigmoid(now[1].margin(b))})
-            rated = scratch.keep(mapped(free, rate, "doc_id string, p0 double, p1 double").select(F.col("doc_id").cast("bigint").alias("doc_id"), "p0", "p1"))
+            rate = lambda a, b, now=now: {"p0": sigmoid(now[0].margin(a)), "p1": sigmoid(now[1].margin(b))}
+            rated = mapped(stored.where("doc_id is not null"), rate, "doc_id bigint, p0 double, p1 double")
+            # a row that neither is sure of is never told
+            rated = scratch.keep(rated.where((F.greatest("p0", "p1") >= s.sure) | (1 - F.least("p0", "p1") >= s.sure)).join(told_of, "doc_id", "left_anti"))
             told: list[dict[int, float]] = [{}, {}]
             for k in (0, 1):
                 for label, sure in ((1.0, F.col(f"p{k}")), (0.0, 1 - F.col(f"p{k}"))):
@@ -215,8 +264,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
                 m.calibrate(stack(known[apart], column), y[apart])
     last = [m.light() for m in models]
 
-    def score(part, a, b):
-        value = sigmoid((last[0].calibrated(a) + last[1].calibrated(b)) / 2) if last else 0.5
-        return pd.DataFrame({"doc_id": part["doc_id"], "score": value})
+    def score(a, b):
+        return {"score": sigmoid((last[0].calibrated(a) + last[1].calibrated(b)) / 2) if last else np.full(len(a), 0.5)}
 
-    return mapped(docs, score, "doc_id string, score double").select(F.col("doc_id").cast("bigint").alias("doc_id"), "score")
+    return mapped(stored, score, "doc_id bigint, score double")
