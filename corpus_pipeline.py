@@ -104,8 +104,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids and an empty text; every row gives one, repeated ones too. Other
     columns aren't read, whatever their names. An empty table gives an empty one.
     """
-    path = tokenizer_path("word_bpe_49k.json")
-    coded = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    coded = bpe_codec.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
     return coded.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
 
 

@@ -21,8 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Chunks and fragments remembered by one task at most; a table is emptied when full.
-MEMORY_ENTRIES = 300_000
+#: Chunks and fragments remembered by one task at most, in each of three tables; a table is emptied when full.
+MEMORY_ENTRIES = 120_000
 #: Longer words are not remembered, so that the table's size is bounded in bytes too.
 MEMORY_WORD_CHARS = 64
 
@@ -216,6 +216,22 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", carry: tuple[str, ..
     return map_column(df, ids, T.StructType([T.StructField(out, T.StringType())]), make, list(carry))
 
 
+def round_trip(df: DataFrame, tokenizer: str, text: str = "text", carry: tuple[str, ...] = ("doc_id",), ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode``: ``carry``, ``ids`` and the text ``out`` that these ids give, by one codec and worker a task."""
+    from tallyforge.llm.arrowtext import map_column
+
+    def make():
+        codec = BpeCodec(tokenizer)
+
+        def both(texts: list) -> list[pa.Array]:
+            coded = [codec.encode(t) if t else b"" for t in texts]
+            return [pa.array(coded, pa.binary()), pa.array([codec.decode(r) if r else "" for r in coded], pa.string())]
+
+        return both
+
+    return map_column(df, text, T.StructType([T.StructField(ids, T.BinaryType()), T.StructField(out, T.StringType())]), make, list(carry))
+
+
 def id_array(ids: str = "ids"):
     """Column: packed ids as an array of longs, for callers that want them unpacked."""
     raw = F.hex(ids)

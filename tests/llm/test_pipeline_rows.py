@@ -54,3 +54,18 @@ def test_stages_take_columns_of_any_name(spark, tmp_path):
         assert stage(spark, more.limit(0), str(tmp_path)).columns == more.columns
     coded = corpus_pipeline.encode(spark, more, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in coded) == list(range(len(rows)))
+
+
+def test_texts_are_encoded_and_decoded_by_one_worker(spark):
+    """op10 and the pipeline's last stage have one Python step, so that one worker a task holds the vocabulary."""
+    import corpus_pipeline as pipeline
+
+    from tallyforge.llm.bpe_codec import decode, encode, round_trip
+    from tallyforge.llm.queries import tokenizer_path
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = ["a word, two words", "É́ <|endoftext|> x", "", None, "日本語 \n\n z", "w" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    apart = {r.doc_id: (bytes(r.ids), r.decoded) for r in decode(encode(docs, path), path).collect()}
+    assert {r.doc_id: (bytes(r.ids), r.decoded) for r in round_trip(docs, path).collect()} == apart
+    assert pipeline.encode(spark, docs, "")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
