@@ -24,11 +24,12 @@ stretches between checkpoints of many blocks side by side in the same way.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import filterfalse, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,8 @@ TOGETHER, STRETCHES = 16, 64
 LOW = np.uint64(1 << 31)
 SHIFT, WORD = np.uint64(BITS), np.uint64(32)
 MASK = np.uint64((1 << 32) - 1)
-#: Pieces of text remembered by one worker at most, and the longest of them in characters.
-MEMORY_ENTRIES, MEMORY_CHARS = 400_000, 64
+#: Pieces of text remembered by one worker at most, and the longest of them in bytes.
+MEMORY_ENTRIES, MEMORY_BYTES = 400_000, 64
 #: New pieces that the library is given as one text.
 JOINED = 1000
 
@@ -55,13 +56,53 @@ docs array<struct<number: bigint, id: {id}, at: int, n: int, before: bigint, tot
 # -- token ids ----------------------------------------------------------------------------------
 
 
+def _bytes(*kinds: int | range) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    for kind in kinds:
+        out[kind] = True
+    return out
+
+
+SPACE, STOPS = _bytes(range(9, 14), 32), _bytes(*b".,;:!?")
+ASCII_LETTERS = _bytes(range(65, 91), range(97, 123))
+#: Bytes of characters that libraries may disagree on as white space, or the first bytes of such characters.
+MAYBE_ODD = _bytes(range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3)
+
+
+def piece_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of the texts begin that lie end to end in ``data``, text i from ``ends[i]`` to ``ends[i + 1]``.
+
+    A piece is white space and what follows it up to the next white space or the end. Where that
+    begins with letters before a stop, it is cut before the stop. White space that ends a text is a piece.
+    """
+    n = len(data)
+    first = np.zeros(n + 1, dtype=bool)
+    first[ends[:-1]] = True
+    first = first[:n]
+    space = SPACE[data]
+    # letters of Latin-1 have two bytes, of which the first is C3
+    wide = np.append(data[:-1] == 0xC3, False) & ~np.isin(np.append(data[1:], 0), (0x97, 0xB7))
+    letter = ASCII_LETTERS[data] | wide
+    letter[1:] |= wide[:-1]
+    after = np.append(True, space[:-1])[:n] | first
+    run = np.flatnonzero(after & ~space)
+    other = np.append(np.flatnonzero(~letter), n)
+    stop = other[np.searchsorted(other, run)]
+    end = ends[np.searchsorted(ends, run, "right")]
+    stop = stop[(stop > run) & (stop < end)]
+    stop = stop[STOPS[data[stop]]]
+    begins = first | (space & ~after)
+    begins[stop] = True
+    return np.flatnonzero(begins)
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which meets each piece of text once.
 
     No token of a byte-level vocabulary goes from a character that isn't white space to one that
     is, or from a letter to a stop or comma, and what follows doesn't depend on what came before,
-    so a text can be cut there. Texts with white space that libraries disagree on are encoded in
-    one piece. New pieces that such cuts divide on both sides go to the library many at a time.
+    so a text can be cut there. Pieces are found and told apart in Arrow and numpy, a batch of texts
+    at once. Texts with white space that libraries disagree on are encoded in one piece. New pieces that such cuts divide on both sides go to the library many at a time.
     """
 
     def __init__(self, path: str):
@@ -72,8 +113,6 @@ class PieceEncoder:
         self.library.no_padding()
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        letters = "A-Za-zÀ-ÖØ-öø-ÿ"
-        self.cut = re.compile(rf"\s*[{letters}]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+\Z").findall
         self.odd = re.compile(r"[^\S \t\n\r\v\f]").search
         #: bytes that each id stands for: a letter of such a vocabulary is a byte, special tokens are text
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -81,46 +120,65 @@ class PieceEncoder:
             self.size[i] = len(token)
         for i, token in self.library.get_added_tokens_decoder().items():
             self.size[i] = len(token.content.encode())
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def fresh(self, pieces: list[str]) -> dict[str, bytes]:
-        inner = [p for p in pieces if p[0] in " \t\n\r\v\f" and p[-1] not in " \t\n\r\v\f"]
+    def fresh(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        inner = [p for p in pieces if p[:1].isspace() and not p[-1:].isspace()]
         runs = [inner[i : i + JOINED] for i in range(0, len(inner), JOINED)]
         out = {}
-        for run, found in zip(runs, self.library.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+        for run, found in zip(runs, self.library.encode_batch_fast([b"".join(r).decode() for r in runs], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype=self.kind)
-            ends = np.cumsum([len(p.encode()) for p in run])
+            ends = np.cumsum([len(p) for p in run])
             raw, at = ids.tobytes(), 0
             for p, end in zip(run, ((np.searchsorted(np.cumsum(self.size[ids]), ends) + 1) * self.kind.itemsize).tolist(), strict=True):
                 out[p], at = raw[at:end], end
         outer = [p for p in pieces if p not in out]
-        for p, found in zip(outer, self.library.encode_batch_fast(outer, add_special_tokens=False), strict=True):
+        for p, found in zip(outer, self.library.encode_batch_fast([p.decode() for p in outer], add_special_tokens=False), strict=True):
             out[p] = np.array(found.ids, dtype=self.kind).tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        known = self.known
-        whole = {i: t for i, t in enumerate(texts) if t and self.odd(t)}
-        parts = [self.cut(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        missing: set[str] = set()
-        for part in parts:
-            missing.update(filterfalse(known.__contains__, part))
-        known.update(self.fresh(list(missing)))
-        out = [b"".join(map(known.__getitem__, part)) for part in parts]
-        for i, found in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False), strict=True):
-            out[i] = np.array(found.ids, dtype=self.kind).tobytes()
+        values = pa.array(texts, pa.large_string())
+        ends = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(texts) + 1]
+        data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[: ends[-1]]
+        # a text with a byte of such white space may have it
+        near = np.diff(np.append(0, np.cumsum(MAYBE_ODD[data]))[ends])
+        whole = [i for i in np.flatnonzero(near).tolist() if self.odd(texts[i])]
+        starts = piece_starts(data, ends)
+        index, words = self.looked_up(data, starts)
+        # each document is a stretch of pieces, and its ids are those of the stretch
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        found = pa.array(words, pa.large_binary()).take(index)
+        places = np.append(0, np.cumsum(sizes[index.to_numpy()]))[np.searchsorted(starts, ends)].tolist()
+        raw = memoryview(found.buffers()[2] or b"")
+        out = [bytes(raw[a:b]) for a, b in zip(places, places[1:], strict=False)]
+        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype=self.kind).tobytes()
+        return out
+
+    def looked_up(self, data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, list[bytes]]:
+        """The different pieces' ids, and which of them each piece has."""
+        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
+        _, cuts, raw = pieces.dictionary.buffers()
+        cuts, raw = np.frombuffer(cuts, dtype=np.int64)[: len(pieces.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
+        names, known = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], self.known
+        missing = [p for p in names if p not in known]
+        known.update(self.fresh(missing))
+        words = [known[p] for p in names]
         for p in missing:
-            if len(p) > MEMORY_CHARS:
+            if len(p) > MEMORY_BYTES:
                 del known[p]
         if len(known) > MEMORY_ENTRIES:
             # what came first is what comes most often
             self.known = dict(islice(known.items(), MEMORY_ENTRIES // 2))
-        return out
+        return pieces.indices, words
 
 
 @cache
 def encoder(path: str) -> PieceEncoder:
-    """The encoder of a worker, which keeps the pieces it knows from task to task."""
+    """The encoder of a worker, which keeps the pieces it knows from task to task. Tasks are parallel, the library isn't."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return PieceEncoder(path)
 
 

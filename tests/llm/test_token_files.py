@@ -111,3 +111,25 @@ def test_ids_come_back_and_damage_is_found(spark, tmp_path):
     bad.write.parquet(f"{other}/blocks")
     with pytest.raises(Exception, match="damaged words"):
         tf.read_digests(spark, other).collect()
+
+
+def test_pieces_are_found_by_the_batch(monkeypatch):
+    """Pieces as by the expression that says what they are, and no look at a piece that is met again."""
+    import re
+
+    import pyarrow as pa
+
+    letters = "A-Za-zÀ-ÖØ-öø-ÿ"
+    rule = re.compile(rf"\s*[{letters}]+(?=[.,;:!?\s]|\Z)|\s*\S+|\s+\Z").findall
+    texts = ["", "a", " ", " a, b.c d", "é,b ×.a ÷, é÷. aé! x", "Ã, Ãb", ".a,", "a\n\n", "\t", "ab", "cd, ef", ",", "it's 12,3 ab?c!", "日本. é"]
+    values = pa.array(texts, pa.large_string())
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int64)
+    data = np.frombuffer(values.buffers()[2], dtype=np.uint8)[: ends[-1]]
+    starts = tf.piece_starts(data, ends).tolist()
+    assert [bytes(data[a:b]).decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)] == [p for t in texts for p in rule(t)]
+    encoder = tf.PieceEncoder(PATH)
+    asked = []
+    monkeypatch.setattr(encoder, "fresh", lambda pieces, real=encoder.fresh: (asked.extend(pieces), real(pieces))[1])
+    first = encoder.encode(texts)
+    assert len(asked) == len(set(asked)) and encoder.encode([*texts, *texts]) == first * 2
+    assert len(asked) == len({p for t in texts for p in rule(t)})
