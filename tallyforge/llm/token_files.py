@@ -24,17 +24,21 @@ stretches between checkpoints of many blocks side by side in the same way.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tallyforge.llm.bpe_codec import byte_letters
 from tallyforge.llm.scratch import Scratch
 
 BITS = 18
@@ -47,7 +51,7 @@ MASK = np.uint64((1 << 32) - 1)
 #: Pieces of text remembered by one worker at most, and the longest of them in bytes.
 MEMORY_ENTRIES, MEMORY_BYTES = 400_000, 64
 #: New pieces that the library is given as one text.
-JOINED = 1000
+JOINED = 200
 
 BLOCKS = """shard int, block int, first bigint, n int, words binary, states binary, places binary, words_crc bigint, ids_crc bigint,
 docs array<struct<number: bigint, id: {id}, at: int, n: int, before: bigint, total: bigint>>"""
@@ -67,6 +71,20 @@ SPACE, STOPS = _bytes(range(9, 14), 32), _bytes(*b".,;:!?")
 ASCII_LETTERS = _bytes(range(65, 91), range(97, 123))
 #: Bytes of characters that libraries may disagree on as white space, or the first bytes of such characters.
 MAYBE_ODD = _bytes(range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3)
+#: Second bytes of characters that begin with C3 and are no letters.
+NO_LETTER = _bytes(0x97, 0xB7)
+#: What a byte of a piece is, and what stands between words that go to the library: no letter of a byte.
+LETTER, DIGIT, SIGN, BLANK, BREAK = 1, 2, 3, 4, "\n"
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes are of letters of ASCII or Latin-1. The latter have two bytes, of which the first is C3."""
+    wide = data[:-1] == 0xC3
+    wide &= ~NO_LETTER[data[1:]]
+    found = ASCII_LETTERS[data]
+    found[:-1] |= wide
+    found[1:] |= wide
+    return found
 
 
 def piece_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -79,34 +97,42 @@ def piece_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     first = np.zeros(n + 1, dtype=bool)
     first[ends[:-1]] = True
     first = first[:n]
-    space = SPACE[data]
-    # letters of Latin-1 have two bytes, of which the first is C3
-    wide = np.append(data[:-1] == 0xC3, False) & ~np.isin(np.append(data[1:], 0), (0x97, 0xB7))
-    letter = ASCII_LETTERS[data] | wide
-    letter[1:] |= wide[:-1]
-    after = np.append(True, space[:-1])[:n] | first
-    run = np.flatnonzero(after & ~space)
-    other = np.append(np.flatnonzero(~letter), n)
-    stop = other[np.searchsorted(other, run)]
-    end = ends[np.searchsorted(ends, run, "right")]
-    stop = stop[(stop > run) & (stop < end)]
-    stop = stop[STOPS[data[stop]]]
-    begins = first | (space & ~after)
-    begins[stop] = True
+    space, letter = SPACE[data], letters(data)
+    begins = space.copy()
+    begins[1:] &= ~space[:-1]
+    begins |= first
+    # a stop behind a run of letters that has white space or the text's beginning before it
+    stop = np.flatnonzero(STOPS[data[1:]] & letter[:-1] & ~first[1:]) + 1 if n else first.nonzero()[0]
+    other = np.append(-1, np.flatnonzero(~letter))
+    run = np.maximum(other[np.searchsorted(other, stop) - 1] + 1, ends[np.searchsorted(ends, stop, "right") - 1])
+    begins[stop[first[run] | space[run - 1]]] = True
     return np.flatnonzero(begins)
 
 
+def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large string or binary array without nulls, and where its values begin and end in them."""
+    ends = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64)
+    return np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def packed(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A large binary array of these bytes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+
+
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which meets each piece of text once.
 
     No token of a byte-level vocabulary goes from a character that isn't white space to one that
     is, or from a letter to a stop or comma, and what follows doesn't depend on what came before,
-    so a text can be cut there. Pieces are found and told apart in Arrow and numpy, a batch of texts
-    at once. Texts with white space that libraries disagree on are encoded in one piece. New pieces that such cuts divide on both sides go to the library many at a time.
+    so a text can be cut there. Pieces are found, told apart and remembered in Arrow and numpy, a
+    batch of texts at once. Texts with white space that libraries disagree on are encoded in one piece.
+    New pieces of Latin letters, digits and signs are split into words here as the file's pattern does it, and go to the
+    library's model as words, many at a time; others go through all of the library.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -114,15 +140,77 @@ class PieceEncoder:
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.odd = re.compile(r"[^\S \t\n\r\v\f]").search
+        added = self.library.get_added_tokens_decoder()
         #: bytes that each id stands for: a letter of such a vocabulary is a byte, special tokens are text
         self.size = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for token, i in vocabulary.items():
             self.size[i] = len(token)
-        for i, token in self.library.get_added_tokens_decoder().items():
+        for i, token in added.items():
             self.size[i] = len(token.content.encode())
-        self.known: dict[bytes, bytes] = {}
-
-    def fresh(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        #: what each byte may be in a piece that is split here: 0 nothing
+        self.sort = np.zeros(256, dtype=np.uint8)
+        how = self.library.pre_tokenizer and json.loads(self.library.pre_tokenizer.__getstate__())
+        if self.library.normalizer is None and how and (how["type"], how.get("use_regex"), how.get("add_prefix_space")) == ("ByteLevel", True, False):
+            self.sort[33:127], self.sort[ASCII_LETTERS], self.sort[48:58] = SIGN, LETTER, DIGIT
+            self.sort[[*b" \t\n\r"]] = BLANK
+            # contractions, and what special tokens may begin with
+            self.sort[[*b"'", *(t.content.encode()[0] for t in added.values())]] = 0
+        self.letter = np.array([ord(c) for c in byte_letters()], dtype="<u4")
+        self.words = Tokenizer.from_file(path)
+        self.words.no_truncation()
+        self.words.no_padding()
+        self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(BREAK)
+        #: pieces met, and the ids of each
+        self.known = self.known_ids = pa.array([], pa.large_binary())
+
+    def fresh(self, pieces: pa.Array) -> pa.Array:
+        """The packed ids of each piece."""
+        data, ends = unpacked(pieces)
+        first, sort = self.sorts(data, ends)
+        hard = sort == 0
+        hard |= (sort == BLANK) & ~first
+        hard[ends[:-1]] |= (sort[ends[:-1]] == BLANK) & (np.diff(ends) == 1)
+        plain = ~np.logical_or.reduceat(hard, ends[:-1]) if len(pieces) else hard
+        split = self.by_words(pieces.filter(pa.array(plain)))
+        others = pa.array(self.unsplit(pieces.filter(pa.array(~plain)).to_pylist()), pa.large_binary())
+        place = np.where(plain, np.cumsum(plain), np.cumsum(~plain) + len(split)) - 1
+        return pa.concat_arrays([split, others]).take(pa.array(place))
+
+    def sorts(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which bytes begin a piece, and what each byte is."""
+        first = np.zeros(len(data), dtype=bool)
+        first[ends[:-1]] = True
+        sort = self.sort[data]
+        if self.sort.any():
+            sort[letters(data)] = LETTER
+        return first, sort
+
+    def by_words(self, pieces: pa.Array) -> pa.Array:
+        """The packed ids of pieces that are split into words here."""
+        if not len(pieces):
+            return pa.array([], pa.large_binary())
+        data, ends = unpacked(pieces)
+        first, sort = self.sorts(data, ends)
+        # a word begins where the sort changes, but a space before it is its own
+        begins = first
+        begins[1:] |= (sort[1:] != sort[:-1]) & (data[:-1] != 0x20)
+        text = np.full(len(data) + np.count_nonzero(begins), ord(BREAK), dtype="<u4")
+        place = np.arange(len(data)) + np.cumsum(begins)
+        text[place] = self.letter[data]
+        cuts = [*place[ends[:-1:JOINED]].tolist(), len(text) + 1]
+        text = text.tobytes().decode("utf-32-le")
+        row = array(self.kind.char)
+        for found in self.words.encode_batch_fast([text[a : b - 1] for a, b in pairwise(cuts)], add_special_tokens=False):
+            row.extend(found.ids)
+        ids = np.array(row, dtype=self.kind)
+        until = np.append(0, np.cumsum(self.size[ids]))
+        place = np.minimum(np.searchsorted(until, ends), len(ids))
+        if not (until[place] == ends).all():
+            raise ValueError("ids that go across pieces")
+        return packed(ids, place * self.kind.itemsize)
+
+    def unsplit(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of each piece by all of the library. Those that cuts divide on both sides go to it many at a time."""
         inner = [p for p in pieces if p[:1].isspace() and not p[-1:].isspace()]
         runs = [inner[i : i + JOINED] for i in range(0, len(inner), JOINED)]
         out = {}
@@ -135,44 +223,42 @@ class PieceEncoder:
         outer = [p for p in pieces if p not in out]
         for p, found in zip(outer, self.library.encode_batch_fast([p.decode() for p in outer], add_special_tokens=False), strict=True):
             out[p] = np.array(found.ids, dtype=self.kind).tobytes()
-        return out
+        return [out[p] for p in pieces]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        values = pa.array(texts, pa.large_string())
-        ends = np.frombuffer(values.buffers()[1], dtype=np.int64)[: len(texts) + 1]
-        data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)[: ends[-1]]
+    def encode(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        values = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string()).fill_null("")
+        data, ends = unpacked(values)
         # a text with a byte of such white space may have it
-        near = np.diff(np.append(0, np.cumsum(MAYBE_ODD[data]))[ends])
-        whole = [i for i in np.flatnonzero(near).tolist() if self.odd(texts[i])]
+        odd, whole = MAYBE_ODD[data], []
+        if odd.any():
+            near = np.diff(np.append(0, np.cumsum(odd))[ends])
+            whole = [i for i in np.flatnonzero(near).tolist() if self.odd(values[i].as_py())]
         starts = piece_starts(data, ends)
-        index, words = self.looked_up(data, starts)
+        found = self.looked_up(data, starts)
         # each document is a stretch of pieces, and its ids are those of the stretch
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        found = pa.array(words, pa.large_binary()).take(index)
-        places = np.append(0, np.cumsum(sizes[index.to_numpy()]))[np.searchsorted(starts, ends)].tolist()
-        raw = memoryview(found.buffers()[2] or b"")
-        out = [bytes(raw[a:b]) for a, b in zip(places, places[1:], strict=False)]
-        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+        raw, cuts = unpacked(found)
+        places, raw = cuts[np.searchsorted(starts, ends)].tolist(), memoryview(raw)
+        out = [bytes(raw[a:b]) for a, b in pairwise(places)]
+        for i, e in zip(whole, self.library.encode_batch_fast([values[i].as_py() for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype=self.kind).tobytes()
         return out
 
-    def looked_up(self, data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, list[bytes]]:
-        """The different pieces' ids, and which of them each piece has."""
-        offsets = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(data)]).dictionary_encode()
-        _, cuts, raw = pieces.dictionary.buffers()
-        cuts, raw = np.frombuffer(cuts, dtype=np.int64)[: len(pieces.dictionary) + 1].tolist(), raw.to_pybytes() if raw else b""
-        names, known = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], self.known
-        missing = [p for p in names if p not in known]
-        known.update(self.fresh(missing))
-        words = [known[p] for p in names]
-        for p in missing:
-            if len(p) > MEMORY_BYTES:
-                del known[p]
-        if len(known) > MEMORY_ENTRIES:
+    def looked_up(self, data: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """The packed ids of each piece."""
+        pieces = packed(data, np.append(starts, len(data))).dictionary_encode()
+        place = pc.index_in(pieces.dictionary, value_set=self.known).fill_null(-1).to_numpy().copy()
+        new = place < 0
+        missing = pieces.dictionary.filter(pa.array(new))
+        ids = self.fresh(missing)
+        place[new] = len(self.known) + np.arange(len(missing))
+        found = pa.concat_arrays([self.known_ids, ids])
+        short = pc.less_equal(pc.binary_length(missing), MEMORY_BYTES)
+        self.known = pa.concat_arrays([self.known, missing.filter(short)])
+        self.known_ids = pa.concat_arrays([self.known_ids, ids.filter(short)])
+        if len(self.known) > MEMORY_ENTRIES:
             # what came first is what comes most often
-            self.known = dict(islice(known.items(), MEMORY_ENTRIES // 2))
-        return pieces.indices, words
+            self.known, self.known_ids = self.known[: MEMORY_ENTRIES // 2], self.known_ids[: MEMORY_ENTRIES // 2]
+        return found.take(pa.array(place[pieces.indices.to_numpy()]))
 
 
 @cache
@@ -191,7 +277,7 @@ def token_ids(df: DataFrame, tokenizer: str, end: int, text: str = "text", carry
         last = np.array([end], dtype=own.kind).tobytes()
         return lambda texts: [pa.array([x + last for x in own.encode(texts)], pa.binary())]
 
-    return map_column(df, text, T.StructType([T.StructField("ids", T.BinaryType())]), make, list(carry))
+    return map_column(df, text, T.StructType([T.StructField("ids", T.BinaryType())]), make, list(carry), lists=False)
 
 
 def id_counts(df: DataFrame, kind: np.dtype) -> DataFrame:

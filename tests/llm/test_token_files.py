@@ -133,3 +133,28 @@ def test_pieces_are_found_by_the_batch(monkeypatch):
     first = encoder.encode(texts)
     assert len(asked) == len(set(asked)) and encoder.encode([*texts, *texts]) == first * 2
     assert len(asked) == len({p for t in texts for p in rule(t)})
+
+
+def test_new_pieces_are_split_here_as_by_the_library(monkeypatch):
+    """Words, digits and signs as the library splits them, without its splitting; it remembers no object for each piece."""
+    import itertools
+
+    import pyarrow as pa
+
+    parts = ["ab", "é", "Ça", "12", "#", "--", "_", "'s", "'", "<|endoftext|>", "<", " ", "\n", "\t", "ª", "日", "×", "\x00", "x" * 70]
+    texts = ["".join(p) for n in (1, 2, 3, 4) for p in itertools.islice(itertools.product(parts, repeat=n), 0, None, 1 + 3 * (n == 4))]
+    encoder = tf.PieceEncoder(PATH)
+    assert [np.frombuffer(x, dtype=encoder.kind).tolist() for x in encoder.encode(texts)] == library(texts)
+    assert isinstance(encoder.known, pa.Array) and len(encoder.known) == len(encoder.known_ids)
+    # in Arrow, in the middle of an array and with null
+    held = pa.array(["before", None, "", " été###", "after all"])
+    asked = []
+    other = tf.PieceEncoder(PATH)
+    monkeypatch.setattr(other, "unsplit", lambda pieces, real=other.unsplit: (asked.extend(pieces), real(pieces))[1])
+    assert [np.frombuffer(x, dtype=other.kind).tolist() for x in other.encode(held[1:])] == library([None, "", " été###", "after all"])
+    assert asked == []
+    # what is remembered is bounded, and ids stay the same when most of it is let go
+    monkeypatch.setattr(tf, "MEMORY_ENTRIES", 50)
+    for at in range(0, 600, 40):
+        assert [np.frombuffer(x, dtype=other.kind).tolist() for x in other.encode(texts[at : at + 40])] == library(texts[at : at + 40])
+        assert len(other.known) <= 50
